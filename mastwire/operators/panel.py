@@ -19,6 +19,21 @@ def _entity(keys: list[str], date: str):
     return Window.partitionBy(*keys).orderBy(date)
 
 
+def last_known(value: Column, keys: list[str], date: str) -> Column:
+    """The value at or before each row, skipping missing ones."""
+    return F.last(value, True).over(_entity(keys, date).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def next_known(value: Column, keys: list[str], date: str) -> Column:
+    """The value at or after each row, skipping missing ones.
+
+    Read in reverse order, so the frame grows row by row; a frame that runs to the end of
+    the series would be evaluated again for every row.
+    """
+    back = Window.partitionBy(*keys).orderBy(F.col(date).desc())
+    return F.last(value, True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def lagged(value: str, keys: list[str], date: str, steps) -> dict[str, Column]:
     """Row offsets (not calendar offsets) of a value."""
     w = _entity(keys, date)
@@ -105,28 +120,16 @@ def band_features(df: DataFrame, keys: list[str], date: str, value: str) -> Data
 
 def autoregressive_features(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """Lag 1 and 7 and the shifted week's mean and spread; the head takes the next known value."""
-    w = _entity(keys, date)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    raw = {
-        "lag_1": F.lag(value, 1).over(w),
-        "lag_7": F.lag(value, 7).over(w),
-        "roll_mean_7d": rolling(value, keys, date, 7, "mean"),
-        "roll_std_7d": rolling(value, keys, date, 7, "std"),
-    }
-    out = df.withColumns(raw)
-    for name in ("lag_1", "lag_7", "roll_mean_7d"):
-        out = out.withColumn(name, F.coalesce(F.col(name), F.first(name, True).over(ahead)))
-    return out
+    new = {**lagged(value, keys, date, (1, 7)), "roll_mean_7d": rolling(value, keys, date, 7, "mean")}
+    out = df.withColumns({**new, "roll_std_7d": rolling(value, keys, date, 7, "std")})
+    return out.withColumns({n: F.coalesce(F.col(n), next_known(F.col(n), keys, date)) for n in new})
 
 
 def fill_both_ways(df: DataFrame, keys: list[str], date: str, values: list[str]) -> DataFrame:
     """The last value before a gap, else the first one after it."""
-    w = _entity(keys, date)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
     return df.withColumns(
         {
-            v: F.coalesce(F.last(v, True).over(past), F.first(v, True).over(ahead))
+            v: F.coalesce(last_known(F.col(v), keys, date), next_known(F.col(v), keys, date))
             for v in values
         }
     )
@@ -152,33 +155,42 @@ def complete_calendar(df: DataFrame, keys: list[str], date: str, values: list[st
     The line is anchored in time on the nearest known days. Nothing precedes the first day
     and the last day is observed, so only the inside of the span is ever filled.
     """
-    w = _entity(keys, date)
-    step = df.withColumn("_next", F.lead(date).over(w))
-    last_day = F.coalesce(F.date_sub(F.col("_next"), 1), F.col(date))
-    days = step.withColumn("_day", F.explode(F.sequence(F.col(date), last_day))).withColumn(
-        "is_observed", F.col("_day") == F.col(date)
+    day = F.col(date)
+    after = F.lead(date).over(_entity(keys, date))
+    out = _line_ends(df, keys, date, values).withColumn("_until", F.coalesce(F.date_sub(after, 1), day))
+    # The windows run on observed rows only; each row then fills the days until the next one.
+    out = out.withColumn("_day", F.explode(F.sequence(day, F.col("_until"))))
+    out = out.withColumn("is_observed", F.col("_day") == day)
+    out = out.withColumns(
+        {v: F.coalesce(F.when(F.col("is_observed"), F.col(v)), _on_line(v, F.col("_day"))) for v in values}
     )
-    cleared = days.withColumns(
-        {v: F.when(F.col("is_observed"), F.col(v)) for v in values}
-    ).drop(date, "_next")
-    out = cleared.withColumnRenamed("_day", date)
-    return interpolate(out, keys, date, values)
+    return _without_ends(out.drop(date, "_until").withColumnRenamed("_day", date), values)
 
 
 def interpolate(df: DataFrame, keys: list[str], date: str, values: list[str]) -> DataFrame:
     """Linear in time between known days; leading gaps stay missing, trailing ones hold."""
-    w = _entity(keys, date)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    new = {}
-    for v in values:
-        known_day = F.when(F.col(v).isNotNull(), F.col(date))
-        v0, v1 = F.last(v, True).over(past), F.first(v, True).over(ahead)
-        d0, d1 = F.last(known_day, True).over(past), F.first(known_day, True).over(ahead)
-        span = F.datediff(d1, d0)
-        line = v0 + (v1 - v0) * F.datediff(F.col(date), d0) / F.nullif(span, F.lit(0))
-        new[v] = F.coalesce(F.col(v), line, v0)
-    return df.withColumns(new)
+    out = _line_ends(df, keys, date, values)
+    out = out.withColumns({v: F.coalesce(F.col(v), _on_line(v, F.col(date))) for v in values})
+    return _without_ends(out, values)
+
+
+def _line_ends(df: DataFrame, keys: list[str], date: str, values: list[str]) -> DataFrame:
+    """Per value: the last known point at or before each row and the next one after it."""
+    points = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(date).alias("day"), F.col(v).alias("value"))) for v in values}
+    out = df.withColumns({f"_{v}_from": last_known(p, keys, date) for v, p in points.items()})
+    back = Window.partitionBy(*keys).orderBy(F.col(date).desc())
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumns({f"_{v}_to": F.last(p, True).over(later) for v, p in points.items()})
+
+
+def _on_line(value: str, day: Column) -> Column:
+    start, end = F.col(f"_{value}_from"), F.col(f"_{value}_to")
+    step = F.datediff(day, start["day"]) / F.datediff(end["day"], start["day"])
+    return F.coalesce(start["value"] + (end["value"] - start["value"]) * step, start["value"])
+
+
+def _without_ends(df: DataFrame, values: list[str]) -> DataFrame:
+    return df.drop(*[f"_{v}_{side}" for v in values for side in ("from", "to")])
 
 
 def repair_anomalies(
@@ -189,29 +201,19 @@ def repair_anomalies(
     A flagged day takes the mean of the unflagged days one week before and after, or the
     expected value when neither is usable. Input must be one row for every day.
     """
-    w = _entity(keys, date)
+    w, whole = _entity(keys, date), Window.partitionBy(*keys)
     centred = w.rowsBetween(-7, 7)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    x = F.col(value)
+    x, trend = F.col(value), F.col("_trend")
     out = df.withColumn("raw_value", x).withColumn(
         "_trend", F.when(F.count(x).over(centred) >= 5, F.avg(x).over(centred))
     )
-    out = out.withColumn(
-        "_trend",
-        F.coalesce(F.first("_trend", True).over(ahead), F.last("_trend", True).over(past)),
-    )
-    effect = F.avg(x).over(Window.partitionBy(*keys, weekday(F.col(date)))) - F.avg(x).over(
-        Window.partitionBy(*keys)
-    )
-    out = out.withColumn("expected", F.col("_trend") + effect).withColumn(
-        "_residual", x - F.col("expected")
-    )
-    spread = out.groupBy(*keys).agg(
-        (F.percentile("_residual", F.lit(0.75)) - F.percentile("_residual", F.lit(0.25))).alias("_iqr"),
-        F.stddev_samp("_residual").alias("_sd"),
+    trend = F.coalesce(trend, next_known(trend, keys, date), last_known(trend, keys, date))
+    effect = F.avg(x).over(Window.partitionBy(*keys, weekday(F.col(date)))) - F.avg(x).over(whole)
+    out = out.withColumn("expected", trend + effect).withColumn("_residual", x - F.col("expected"))
+    quartile = {p: F.percentile("_residual", F.lit(p)).over(whole) for p in (0.25, 0.75)}
+    out = out.withColumns(
+        {"_iqr": quartile[0.75] - quartile[0.25], "_sd": F.stddev_samp("_residual").over(whole)}
     )
-    out = out.join(spread, keys)
     robust = F.when(F.col("_iqr") > 0, F.col("_iqr") / 1.349).otherwise(F.col("_sd"))
     out = out.withColumn(
         "is_anomaly",
