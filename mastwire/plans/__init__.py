@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("network",)
+MODULES = ("network", "churn")
 
 
 def load_queries() -> None:

@@ -165,21 +165,47 @@ VIEWS["v_subscribers"] = _subscriber_sql()
 
 # A catalogue with one offer per brand: its size does not depend on the size of the part table.
 VIEWS["v_offers"] = """
-        SELECT replace(p_brand, 'Brand#', 'OF_') AS offer_id,
-               CASE WHEN max(p_size) % 2 = 0 AND min(p_partkey) % 3 = 0 THEN 'Monthly offers'
-                    WHEN min(p_partkey) % 3 = 1 THEN 'Daily offers' ELSE 'Weekly offers' END AS family_en,
-               round(2 + avg(p_size) / 4 + (min(p_partkey) % 7) * 3, 2) AS price_lyd,
-               CAST(CASE WHEN min(p_partkey) % 3 = 0 THEN 720 WHEN min(p_partkey) % 3 = 1 THEN 24
-                    ELSE 168 END AS DOUBLE) AS validity_hours,
-               CASE WHEN min(p_partkey) % 4 = 0 THEN NULL ELSE round(avg(p_size), 1) END AS data_gb,
-               CASE WHEN min(p_partkey) % 4 = 0 THEN 1 ELSE 0 END AS data_unlimited,
-               CASE WHEN min(p_partkey) % 5 = 0 THEN 100.0 END AS voice_minutes,
-               0 AS voice_unlimited,
-               CASE WHEN min(p_partkey) % 11 = 0 THEN 3.0 END AS members,
-               CASE WHEN min(p_partkey) % 6 = 5 THEN '5G' END AS network,
-               CASE WHEN min(p_partkey) % 8 = 1 THEN 1.0 END AS valid_from_hour,
-               CASE WHEN min(p_partkey) % 8 = 1 THEN 7.0 END AS valid_to_hour
-        FROM {part} GROUP BY p_brand"""
+        SELECT concat('OF_', n) AS offer_id, concat('Offer ', n) AS name_en, concat('عرض ', n) AS name_ar,
+               CASE n % 3 WHEN 0 THEN 'Monthly offers' WHEN 1 THEN 'Daily offers' ELSE 'Weekly offers' END AS family_en,
+               round(2 + mean_size / 4 + n % 7 * 3, 2) AS price_lyd,
+               CAST(CASE n % 3 WHEN 0 THEN 720 WHEN 1 THEN 24 ELSE 168 END AS DOUBLE) AS validity_hours,
+               CASE WHEN n % 4 = 0 OR n % 9 = 5 THEN NULL ELSE round(mean_size, 1) END AS data_gb,
+               CASE WHEN n % 4 = 0 THEN 1 ELSE 0 END AS data_unlimited,
+               CASE WHEN n % 4 <> 0 AND n % 9 = 5 THEN 'none' WHEN n % 2 = 0 THEN 'stated' ELSE 'name' END AS volume_source,
+               CAST(CASE WHEN n % 5 = 0 THEN 100 WHEN n % 9 = 5 THEN 12 END AS DOUBLE) AS voice_minutes,
+               0 AS voice_unlimited, CAST(CASE WHEN n % 11 = 0 THEN 3 END AS DOUBLE) AS members,
+               CASE WHEN n % 6 = 5 THEN '5G' END AS network,
+               CAST(CASE WHEN n % 8 = 1 THEN 1 END AS DOUBLE) AS valid_from_hour,
+               CAST(CASE WHEN n % 8 = 1 THEN 7 END AS DOUBLE) AS valid_to_hour
+        FROM (SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) AS n, avg(p_size) AS mean_size
+              FROM {part} GROUP BY p_brand) AS brands"""
+
+VIEWS["v_decisions"] = """
+        SELECT concat('S', c_custkey) AS subscriber_id,
+               CASE WHEN status = 'scenario' THEN p END AS churn_probability,
+               CASE status WHEN 'scenario' THEN CASE WHEN p >= 0.6 THEN 'high' WHEN p >= 0.3 THEN 'medium' ELSE 'low' END
+                    WHEN 'risk_unavailable' THEN 'unavailable' ELSE status END AS risk_band,
+               CASE WHEN orders >= 14 THEN 'very_high' WHEN orders >= 11 THEN 'high' WHEN orders >= 9 THEN 'medium'
+                    WHEN orders >= 6 THEN 'low' ELSE 'very_low' END AS value_tier,
+               status AS value_status,
+               CASE WHEN status = 'scenario' THEN round(spend / 1000, 2) END AS value_12m_base_lyd,
+               CASE WHEN c_nationkey % 3 = 0 THEN 'PAYG' ELSE concat('OF_', 1 + c_nationkey % 25) END AS bundle_held,
+               orders % 4 <> 1 AS uses_voice, orders % 3 <> 1 AS uses_data,
+               round(coalesce(spend, 0) / 5000, 2) AS monthly_spend_lyd, c_mktsegment AS segment
+        FROM (SELECT c.*, coalesce(n, 0) AS orders, spend,
+                     round((c_custkey * 7919 % 1000) / 1000.0, 3) AS p,
+                     CASE WHEN n IS NULL THEN 'already_silent' WHEN c_acctbal < -500 THEN 'risk_unavailable'
+                          ELSE 'scenario' END AS status
+              FROM {customer} c LEFT JOIN (
+                  SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spend FROM {orders} GROUP BY o_custkey) o
+              ON c_custkey = o_custkey) AS base"""
+
+VIEWS["v_reviews"] = """
+        SELECT concat('S', user_id) AS subscriber_id,
+               CASE WHEN event_type = 'purchase' THEN 'approved' ELSE 'rejected' END AS decision,
+               concat('reviewer ', user_id % 3) AS reviewer, ts AS reviewed_at, '' AS note, 'c1' AS campaign_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
+              FROM {events} WHERE event_type IN ('purchase', 'error')) AS first_events WHERE i = 1"""
 
 _NAME = re.compile(r"\{(\w+)\}")
 
