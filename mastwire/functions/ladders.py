@@ -16,8 +16,10 @@ def literal_array(values) -> Column:
 
 def nearest(value: Column, steps) -> Column:
     """The closest step, the smaller one on a tie; a missing value has none."""
-    ranked = F.transform(literal_array(sorted(steps)), lambda s: F.struct(F.abs(value - s), s))
-    return F.when(value.isNotNull(), F.array_min(ranked)["col2"])
+    ranked = F.transform(
+        literal_array(sorted(steps)), lambda s: F.struct(F.abs(value - s).alias("gap"), s.alias("step"))
+    )
+    return F.when(value.isNotNull(), F.array_min(ranked)["step"])
 
 
 def largest_within(ceiling: Column, steps, otherwise: float = 0.0) -> Column:

@@ -10,11 +10,19 @@ class ContractError(ValueError):
     """The data break their contract; the message lists every problem."""
 
 
-def failures(df: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> DataFrame:
-    """One row per failed rule and row: column, check and the offending value as text.
+Rules = list[tuple[str, str, Column, Column]]
+RULES_PER_PASS = 30
 
-    All rules are evaluated in one pass and only failing rows are expanded.
-    """
+
+def failure_counts(df: DataFrame, rules: Rules) -> list[tuple[int, int]]:
+    """(rule position, failing rows) for every rule that fails, from one aggregation."""
+    broken = [F.count_if(~F.coalesce(passes, F.lit(False))).alias(f"r{i}") for i, (_, _, passes, _) in enumerate(rules)]
+    row = df.agg(*broken).first()
+    return [(i, row[f"r{i}"]) for i in range(len(rules)) if row[f"r{i}"]]
+
+
+def failures(df: DataFrame, rules: Rules) -> DataFrame:
+    """One row per failed rule and row: column, check and the offending value as text."""
     failed = [
         F.when(
             ~F.coalesce(passes, F.lit(False)),
@@ -24,23 +32,31 @@ def failures(df: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> Dat
         )
         for column, check, passes, example in rules
     ]
-    found = df.select(F.array_compact(F.array(*failed)).alias("failed")).where(F.size("failed") > 0)
-    return found.select(F.inline("failed"))
+    return df.select(F.explode(F.array(*failed)).alias("f")).where(F.col("f").isNotNull()).select("f.*")
 
 
-def summarize(failed: DataFrame, examples: int = 3) -> DataFrame:
+def summarize(df: DataFrame, rules: Rules, examples: int = 3) -> DataFrame:
     """Failures per column and check, with up to three distinct examples.
 
-    Equal examples are counted first, so a rule that fails everywhere stays spread out; the
-    ranking keeps the first few per rule before anything is gathered.
+    One aggregation counts the failures of every rule; only rules that fail are looked at
+    again for examples. Equal examples are merged first, so a rule that fails everywhere
+    stays spread out, and the ranking keeps the first few before anything is gathered.
     """
-    counted = failed.groupBy("column", "check", "example").agg(F.count("*").alias("n"))
+    counts = failure_counts(df, rules)
+    failing = [rules[i] for i, _ in counts]
+    rows = [(rules[i][0], rules[i][1], n) for i, n in counts]
+    totals = df.sparkSession.createDataFrame(rows, "column string, check string, failures bigint")
+    found = None
+    for start in range(0, len(failing), RULES_PER_PASS):
+        part = failures(df, failing[start : start + RULES_PER_PASS])
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return totals.withColumn("examples", F.lit(None).cast("string"))
     first = Window.partitionBy("column", "check").orderBy("example")
-    shown = counted.where(F.col("example").isNotNull()).withColumn("_i", F.row_number().over(first))
+    shown = found.where(F.col("example").isNotNull()).distinct().withColumn("_i", F.row_number().over(first))
     shown = shown.where(F.col("_i") <= examples).groupBy("column", "check").agg(
         F.array_join(F.array_sort(F.collect_list("example")), ", ").alias("examples")
     )
-    totals = counted.groupBy("column", "check").agg(F.sum("n").alias("failures"))
     return totals.join(shown, ["column", "check"], "left")
 
 
@@ -48,7 +64,7 @@ def require(df: DataFrame, rules, subject: str, table_failures: list[str] | None
     """The data unchanged, or an error naming every failed rule with counts and examples."""
     lines = [
         f"- {r['column']}: {r['check']} failed {r['failures']} times (examples: {r['examples'] or ''})"
-        for r in summarize(failures(df, rules)).orderBy("column", "check").collect()
+        for r in summarize(df, rules).orderBy("column", "check").collect()
     ]
     lines += [f"- {t}" for t in table_failures or []]
     if lines:

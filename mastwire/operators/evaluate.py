@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from mastwire.functions.numeric import clip, half_even
 from mastwire.operators.ordered import quantiles_by, share_size, with_running
-from mastwire.session import materialize
 
 EPSILON = 1e-15
 TOP_SHARES = (0.05, 0.10, 0.20)
@@ -25,9 +24,7 @@ def score_levels(df: DataFrame, score: str, label: str) -> DataFrame:
     levels = df.groupBy(F.col(score).alias("score")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     )
-    return materialize(
-        with_running(levels, [F.col("score").desc()], None, {"cum_n": F.col("n"), "cum_pos": F.col("pos")})
-    )
+    return with_running(levels, [F.col("score").desc()], None, {"cum_n": F.col("n"), "cum_pos": F.col("pos")})
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -151,10 +148,8 @@ def bootstrap(df: DataFrame, score: str, label: str, repeats: int = 200, seed: i
 
     drawn = counted.mapInPandas(draw, "replicate bigint, score double, n bigint, pos bigint")
     levels = drawn.groupBy("replicate", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    run = materialize(
-        with_running(
-            levels, [F.col("replicate").asc(), F.col("score").desc()], None, {"cum_n": F.col("n"), "cum_pos": F.col("pos")}
-        )
+    run = with_running(
+        levels, [F.col("replicate").asc(), F.col("score").desc()], None, {"cum_n": F.col("n"), "cum_pos": F.col("pos")}
     )
     start = run.groupBy("replicate").agg(
         F.min(F.col("cum_n") - F.col("n")).alias("n0"), F.min(F.col("cum_pos") - F.col("pos")).alias("p0")

@@ -70,7 +70,6 @@ def quantiles_by(
     run = with_running(
         counts, [*[F.col(k).asc() for k in by], F.col(value).asc()], None, {"_cum": F.col("_n")}
     )
-    run = materialize(run)
     first = run.groupBy(*by).agg(
         F.min(F.col("_cum") - F.col("_n")).alias("_start"), F.sum("_n").alias("_total")
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mastwire.functions.ladders import interval_number
 from mastwire.functions.numeric import any_of, clip, total
-from mastwire.operators.ordered import quantile_values
+from mastwire.operators.ordered import quantiles_by
+from mastwire.session import materialize
 
 DIMENSIONS = ("recency", "frequency", "monetary", "tenure", "engagement")
 TIERS = ("very_low", "low", "medium", "high", "very_high")
@@ -67,18 +68,22 @@ def _directed(name: str) -> Column:
     return -F.col(name) if name == "recency" else F.col(name)
 
 
-def frozen_cutoffs(df: DataFrame, name: str, value: Column) -> list[float] | None:
-    side = df.select(value.cast("double").alias(name))
-    low, high = side.agg(F.min(name), F.max(name)).first()
-    return None if low == high else quantile_values(side, name, QUANTILES)
+def frozen_cutoffs(df: DataFrame, names: list[str]) -> dict[str, list[float] | None]:
+    """Quintile cutoffs of several columns from one ordered pass; none for a constant column."""
+    long = df.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "name", "value")
+    probs = {f"q{i}": q for i, q in enumerate([0.0, *QUANTILES, 1.0])}
+    rows = {r["name"]: [r[q] for q in probs] for r in quantiles_by(long, ["name"], "value", probs).collect()}
+    return {n: None if rows[n][0] == rows[n][-1] else rows[n][1:-1] for n in names}
 
 
 def fit_tiers(train: DataFrame, rate: float) -> TierModel:
-    measures = value_measures(train, rate)
-    cutoffs = {n: frozen_cutoffs(measures, n, _directed(n)) for n in DIMENSIONS}
-    model = TierModel(rate, measures.count(), cutoffs)
-    scored = dimension_scores(measures, model)
-    return TierModel(rate, model.rows, {**cutoffs, "composite": frozen_cutoffs(scored, "c", F.col("value_score"))})
+    measures = value_measures(train, rate).select(*[_directed(n).alias(n) for n in DIMENSIONS])
+    measures = materialize(measures)
+    cutoffs = frozen_cutoffs(measures, list(DIMENSIONS))
+    restored = measures.withColumn("recency", -F.col("recency"))
+    scored = dimension_scores(restored, TierModel(rate, 0, cutoffs))
+    composite = frozen_cutoffs(scored, ["value_score"])["value_score"]
+    return TierModel(rate, measures.count(), {**cutoffs, "composite": composite})
 
 
 def dimension_scores(measures: DataFrame, model: TierModel) -> DataFrame:

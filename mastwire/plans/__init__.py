@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("network", "churn")
+MODULES = ("network", "churn", "decisions")
 
 
 def load_queries() -> None:

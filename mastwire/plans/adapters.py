@@ -207,7 +207,7 @@ VIEWS["v_reviews"] = """
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
               FROM {events} WHERE event_type IN ('purchase', 'error')) AS first_events WHERE i = 1"""
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -243,6 +243,8 @@ def as_oracle(query: str) -> str:
     body = _NAME.sub(lambda m: m.group(1), query).strip()
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(ctes) + ", " + body[15:]
+    if body.startswith("WITH "):
         return "WITH " + ", ".join(ctes) + ", " + body[5:]
     return "WITH " + ", ".join(ctes) + " " + body

@@ -122,7 +122,7 @@ def subscriber_contract_failures(spark, sf):
             "aon": F.when(F.col("aon") > 2000, F.col("aon") + 0.5).otherwise(F.col("aon")),
         }
     )
-    return C.summarize(C.failures(broken, B.row_rules())).select("column", "check", "failures")
+    return C.summarize(broken, B.row_rules()).select("column", "check", "failures")
 
 
 @query(
@@ -331,7 +331,7 @@ def value_tier_crosstab(spark, sf):
 @query(
     "value_scenarios",
     """SELECT subscriber_id, round(list_sum(list_transform(range(1, 13), lambda m: power(1 - churn_probability, m))), 5) AS expected_months_12m,
-         round(monthly_spend_lyd * list_sum(list_transform(range(1, 13), lambda m: power(1 - least(churn_probability * 1.5, 1), m))), 4) AS value_12m_low_lyd,
+         round(monthly_spend_lyd * list_sum(list_transform(range(1, 13), lambda m: power(1 - CASE WHEN churn_probability * 1.5 > 1 THEN 1 ELSE churn_probability * 1.5 END, m))), 4) AS value_12m_low_lyd,
          round(monthly_spend_lyd * list_sum(list_transform(range(1, 13), lambda m: power(1 - churn_probability, m))), 4) AS value_12m_base_lyd,
          round(monthly_spend_lyd * list_sum(list_transform(range(1, 13), lambda m: power(1 - churn_probability * 0.5, m))), 4) AS value_12m_high_lyd
        FROM {v_decisions}""",
