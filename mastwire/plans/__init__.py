@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("network", "churn", "decisions")
+MODULES = ("network", "churn", "decisions", "places")
 
 
 def load_queries() -> None:

@@ -55,28 +55,28 @@ VIEWS = {
                round(0.3 * l.quality + 0.7 * ((d.doc_id * 7919) % 1009) / 1009.0, 6) AS score
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "v_sites": """
-        SELECT s_suppkey AS site_id, 13.0 + (s_suppkey * 7919 % 7000) / 10000.0 AS lon,
-               32.6 + (s_suppkey * 104729 % 3500) / 10000.0 AS lat,
+        SELECT s_suppkey AS site_id, 13 + (s_suppkey * 7919 % 7000) / CAST(10000 AS DOUBLE) AS lon,
+               CAST(32.6 AS DOUBLE) + (s_suppkey * 104729 % 3500) / CAST(10000 AS DOUBLE) AS lat,
                s_nationkey % 2 = 0 AS has_libyana, s_nationkey % 3 = 0 AS has_almadar,
                s_acctbal AS balance
         FROM {supplier}""",
     "v_candidates": """
-        SELECT c_custkey AS candidate_id, 13.0 + (c_custkey * 7907 % 70000) / 100000.0 AS lon,
-               32.6 + (c_custkey * 104723 % 35000) / 100000.0 AS lat,
+        SELECT c_custkey AS candidate_id, 13 + (c_custkey * 7907 % 70000) / CAST(100000 AS DOUBLE) AS lon,
+               CAST(32.6 AS DOUBLE) + (c_custkey * 104723 % 35000) / CAST(100000 AS DOUBLE) AS lat,
                c_acctbal AS balance, c_mktsegment AS segment, c_nationkey AS area
         FROM {customer}""",
     "v_measure": """
         SELECT event_id, CAST(ts AS DATE) AS day, user_id % 7 AS device, event_type AS net_type,
                606 AS mcc, user_id % 2 AS mnc, user_id % 50 AS lac, user_id AS cell_id,
-               13.0 + (user_id * 7919 % 700) / 1000.0 AS lon,
-               32.6 + (user_id * 104729 % 350) / 1000.0 AS lat,
+               13 + (user_id * 7919 % 700) / CAST(1000 AS DOUBLE) AS lon,
+               CAST(32.6 AS DOUBLE) + (user_id * 104729 % 350) / CAST(1000 AS DOUBLE) AS lat,
                round(-60 - value / 10, 3) AS dbm, value
         FROM {events}""",
     "v_radio": """
         SELECT event_id, event_type AS rat, CAST(user_id % 20 AS STRING) AS region_id,
                CAST(user_id AS STRING) AS site_id,
-               CAST(13 + (user_id * 7919 % 700) / 1000.0 + value / 100000 AS DOUBLE) AS longitude,
-               CAST(32.6 + (user_id * 104729 % 350) / 1000.0 + value / 100000 AS DOUBLE) AS latitude,
+               13 + (user_id * 7919 % 700) / CAST(1000 AS DOUBLE) + value / 100000 AS longitude,
+               CAST(32.6 AS DOUBLE) + (user_id * 104729 % 350) / CAST(1000 AS DOUBLE) + value / 100000 AS latitude,
                ts, CAST(event_id % 5 AS INT) AS channel, CAST(floor(value) % 3 AS INT) AS band,
                CASE WHEN value > 40 THEN value / 10 END AS bandwidth, value
         FROM {events}""",
@@ -207,6 +207,35 @@ VIEWS["v_reviews"] = """
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
               FROM {events} WHERE event_type IN ('purchase', 'error')) AS first_events WHERE i = 1"""
 
+VIEWS["v_plan"] = """
+        SELECT candidate_id, lon, lat, area <> 9 AS inside_libya, area % 11 <> 0 AS population_data_available,
+               area % 13 <> 1 AS terrain_data_available, area % 7 <> 2 AS worldcover_data_available,
+               segment = 'MACHINERY' AND area > 15 AS worldcover_is_water,
+               CASE WHEN balance > 9500 THEN NULL ELSE abs(balance) * 12 END AS population_sum_5km,
+               abs(balance) * 1.5 AS dist_to_nearest_site_m, area * 220 - CAST(100 AS DOUBLE) AS dist_to_nearest_road_m,
+               balance / 20 AS elevation_m, balance / 100 - 20 AS elevation_prominence_3km,
+               CAST(area % 20 AS DOUBLE) AS terrain_slope_deg
+        FROM {v_candidates}"""
+
+# One six-sided outline per nation; neighbours overlap.
+VIEWS["v_area_edges"] = """
+        SELECT n_nationkey AS area, x + 0.09 * cos(a * i) AS x1, y + 0.05 * sin(a * i) AS y1,
+               x + 0.09 * cos(a * (i + 1)) AS x2, y + 0.05 * sin(a * (i + 1)) AS y2
+        FROM (SELECT n_nationkey, 13.07 + (n_nationkey % 5) * CAST(0.14 AS DOUBLE) AS x, i, acos(-1) / 3 AS a,
+                     32.63 + floor(n_nationkey / 5) * CAST(0.07 AS DOUBLE) AS y
+              FROM {nation} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS v(i)) AS centres"""
+
+VIEWS["v_cells"] = """
+        SELECT event_id, CASE event_type WHEN 'view' THEN 'LTE' WHEN 'click' THEN 'UMTS' WHEN 'purchase' THEN 'GSM'
+                    WHEN 'signup' THEN 'NR' ELSE 'WIFI' END AS radio,
+               CAST(CASE WHEN value > 100 THEN 605 ELSE 606 END AS DOUBLE) AS mcc, CAST(user_id % 2 AS DOUBLE) AS net,
+               CASE WHEN value < 1 THEN NULL ELSE CAST(user_id % 20 AS DOUBLE) END AS area,
+               CAST(user_id AS DOUBLE) + CASE WHEN value BETWEEN 1 AND 2 THEN 0.5 ELSE 0 END AS cell,
+               13 + value / 100 AS lon, CASE WHEN value > 90 THEN CAST(95 AS DOUBLE) ELSE 32 + value / 100 END AS lat,
+               CAST(1600000000 + event_id % 1000 * 100000 AS DOUBLE) AS created,
+               CAST(1600000000 + event_id % 1700 * 80000 AS DOUBLE) AS updated, floor(value / 4) AS samples
+        FROM {events}"""
+
 _NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
