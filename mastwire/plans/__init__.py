@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("network", "churn", "decisions", "places")
+MODULES = ("network", "churn", "decisions", "places", "learning")
 
 
 def load_queries() -> None:
