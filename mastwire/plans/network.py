@@ -631,9 +631,9 @@ def harmonic_features_query(spark, sf):
     "exogenous_join",
     f"""WITH {BANDS_SQL}, c AS (SELECT date, avg(availability_pct) AS availability, avg(connected_users) AS users FROM bands GROUP BY date),
        m AS (SELECT date, avg(dl_throughput_mbps) AS macro_dl, avg(erab_drop_rate) AS macro_drop FROM {{v_tower_kpi}} GROUP BY date)
-     SELECT t.date, volume, round(macro_dl, 5) AS macro_dl, round(macro_drop, 5) AS macro_drop, round(availability, 5) AS availability,
-       round(lag(users) OVER (ORDER BY t.date), 5) AS exo_users_lag1,
-       round(CASE WHEN count(users) OVER w >= 3 THEN avg(users) OVER w END, 5) AS exo_users_roll7
+     SELECT t.date, volume, round(macro_dl + 1e-7, 5) AS macro_dl, round(macro_drop + 1e-7, 5) AS macro_drop, round(availability + 1e-7, 5) AS availability,
+       round(lag(users) OVER (ORDER BY t.date) + 1e-7, 5) AS exo_users_lag1,
+       round(CASE WHEN count(users) OVER w >= 3 THEN avg(users) OVER w END + 1e-7, 5) AS exo_users_roll7
      FROM {{v_traffic}} t JOIN m ON t.date = m.date JOIN c ON t.date = c.date WINDOW w AS (ORDER BY t.date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""",
 )
 def exogenous_join(spark, sf):
@@ -647,7 +647,8 @@ def exogenous_join(spark, sf):
         }
     ).drop("series", "users")
     names = ["macro_dl", "macro_drop", "availability", "exo_users_lag1", "exo_users_roll7"]
-    return rounded(out, *names, digits=5)
+    # Means of a few readings often end exactly on a rounding tie; the shift moves them off it.
+    return rounded(out.withColumns({c: F.col(c) + 1e-7 for c in names}), *names, digits=5)
 
 
 @query(
