@@ -67,6 +67,10 @@ def _max_lat(points: DataFrame) -> float:
     return (points.agg(F.max(F.abs("lat"))).first()[0] or 0.0) + 1.0
 
 
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _cells(sites: DataFrame, coarse: tuple[float, float], weights: dict[str, Column]) -> DataFrame:
     """Occupied fine cells with their sums and the box their points span."""
     fine = F.struct(
@@ -89,6 +93,9 @@ def _near_cells(points: DataFrame, cells: DataFrame, coarse: tuple[float, float]
     points is spread over several tasks.
     """
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    # Points are small rows that multiply below: a fixed spread keeps them in many tasks, and
+    # the later grouping by location needs no further shuffle.
+    points = points.repartition(tasks(points), "lon", "lat")
     spread = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     reach = points.withColumns(
         {
@@ -105,16 +112,19 @@ def _near_cells(points: DataFrame, cells: DataFrame, coarse: tuple[float, float]
     lon, lat = F.col("lon"), F.col("lat")
     inside_lon = F.least(F.greatest(lon, F.col("w")), F.col("e"))
     inside_lat = F.least(F.greatest(lat, F.col("s")), F.col("n"))
-    corners = [haversine(lon, lat, F.col(x), F.col(y)) for x in ("w", "e") for y in ("s", "n")]
-    low, high = haversine(lon, lat, inside_lon, inside_lat), F.greatest(*corners)
+    # The farthest corner lies on the box side farther in longitude, at either latitude.
+    far_lon = F.when(F.abs(lon - F.col("w")) > F.abs(lon - F.col("e")), F.col("w")).otherwise(F.col("e"))
+    low = haversine(lon, lat, inside_lon, inside_lat)
+    high = F.greatest(haversine(lon, lat, far_lon, F.col("s")), haversine(lon, lat, far_lon, F.col("n")))
     one_place = (F.col("w") == F.col("e")) & (F.col("s") == F.col("n"))
     # A box is not exactly convex on a sphere, so its bounds carry a small margin.
-    return pairs.withColumns(
-        {
-            "low": F.when(one_place, low).otherwise(low * 0.999 - 0.01),
-            "high": F.when(one_place, low).otherwise(high * 1.001 + 0.01),
-        }
-    ).drop("_at", "cx", "cy", "salt")
+    bounds = F.struct(
+        F.when(one_place, low).otherwise(low * 0.999 - 0.01).alias("low"),
+        F.when(one_place, low).otherwise(high * 1.001 + 0.01).alias("high"),
+    )
+    # Generated rather than projected, so later filters reuse the distances instead of
+    # repeating the trigonometry in every condition.
+    return pairs.withColumn("_b", F.explode(F.array(bounds))).select("*", "_b.low", "_b.high").drop("_at", "cx", "cy", "salt", "_b")
 
 
 def _opened(pairs: DataFrame, sites: DataFrame, coarse: tuple[float, float], columns: list[str]) -> DataFrame:

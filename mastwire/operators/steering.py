@@ -131,7 +131,8 @@ def offload_plan(scored: DataFrame) -> DataFrame:
     paired = needed.withColumns(
         {"_donors": F.max("is_donor").over(unit), "_acceptors": F.max("is_acceptor").over(unit)}
     ).where(F.col("_donors") & F.col("_acceptors"))
-    ordered = paired.repartition("date", "cluster").sortWithinPartitions(
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = paired.repartition(tasks, "date", "cluster").sortWithinPartitions(
         "date", "cluster", F.col("is_acceptor").desc(), F.col("risk").desc(), "download", "tower"
     )
     plan = ordered.drop("_donors", "_acceptors").mapInPandas(_steer, OFFLOAD_SCHEMA)
