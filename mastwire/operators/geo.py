@@ -375,3 +375,83 @@ def terrain(pixels: DataFrame, cell_m: float) -> DataFrame:
     )
     rise = F.sqrt(F.pow((F.col("e") - F.col("w")) / (2 * cell_m), F.lit(2.0)) + F.pow((F.col("n") - F.col("s")) / (2 * cell_m), F.lit(2.0)))
     return pixels.join(sides, ["px", "py"]).withColumn("slope_deg", F.degrees(F.atan(rise))).drop("e", "w", "n", "s")
+
+
+# --- Lines -------------------------------------------------------------------------------
+
+
+def segment_distance(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance in metres from a point to a segment, in local flat metres around the point."""
+    kx, ky = F.cos(F.radians(lat)) * METRES_PER_DEGREE, F.lit(METRES_PER_DEGREE)
+    ax, ay, bx, by = (x1 - lon) * kx, (y1 - lat) * ky, (x2 - lon) * kx, (y2 - lat) * ky
+    dx, dy = bx - ax, by - ay
+    along = F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    return F.sqrt(F.pow(ax + t * dx, F.lit(2.0)) + F.pow(ay + t * dy, F.lit(2.0)))
+
+
+def line_pieces(segments: DataFrame, piece_m: float) -> DataFrame:
+    """Segments cut into equal pieces no longer than the given length, keeping other columns."""
+    length = haversine(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    n = F.greatest(F.ceil(length * 1.01 / piece_m), F.lit(1)).cast("int")
+    out = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dx, dy = (F.col("x2") - F.col("x1")) / F.col("_n"), (F.col("y2") - F.col("y1")) / F.col("_n")
+    ends = {
+        "x1": F.col("x1") + dx * F.col("_i"), "y1": F.col("y1") + dy * F.col("_i"),
+        "x2": F.col("x1") + dx * (F.col("_i") + 1), "y2": F.col("y1") + dy * (F.col("_i") + 1),
+    }
+    return out.withColumns(ends).drop("_n", "_i")
+
+
+def nearest_line(points: DataFrame, segments: DataFrame, start_m: float = 2000.0) -> DataFrame:
+    """Distance to the nearest segment for every distinct point location.
+
+    Segments are cut to pieces shorter than a fine cell; a cell's box covers its whole pieces,
+    so the same bounds apply as for sites, and a hit settles once no piece outside the
+    neighbourhood can be nearer.
+    """
+    piece = start_m / FINE_PER_COARSE
+    pieces = line_pieces(segments.select("x1", "y1", "x2", "y2").distinct(), piece)
+    pieces = materialize(
+        pieces.withColumns({"lon": (F.col("x1") + F.col("x2")) / 2, "lat": (F.col("y1") + F.col("y2")) / 2})
+    )
+    open_points = points.select("lon", "lat").distinct()
+    if not pieces.take(1):
+        return open_points.where(F.lit(False)).withColumn("distance_m", F.lit(None).cast("double"))
+    max_lat = max(_max_lat(open_points), _max_lat(pieces))
+    radius, found = start_m, None
+    while True:
+        coarse = _steps(radius, max_lat)
+        cell = F.struct(
+            F.floor(F.col("lon") / (coarse[0] / FINE_PER_COARSE)).alias("x"),
+            F.floor(F.col("lat") / (coarse[1] / FINE_PER_COARSE)).alias("y"),
+        )
+        cells = pieces.groupBy(cell.alias("cell")).agg(
+            F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"),
+            F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"),
+        ).withColumns(
+            {"cx": F.floor(F.col("cell.x") / FINE_PER_COARSE), "cy": F.floor(F.col("cell.y") / FINE_PER_COARSE)}
+        )
+        near = _near_cells(open_points, cells, coarse)
+        best = near.withColumn("_best", F.min("high").over(Window.partitionBy("lon", "lat")))
+        # Flat local metres differ slightly from the sphere, hence the wider margin.
+        able = best.where(F.col("low") * 0.99 <= F.col("_best") * 1.01).select("lon", "lat", "cell")
+        hits = _opened(able, pieces, coarse, ["x1", "y1", "x2", "y2"]).withColumn(
+            "distance_m", segment_distance(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])
+        )
+        closest = hits.groupBy("lon", "lat").agg(F.min("distance_m").alias("distance_m"))
+        whole = radius > METRES_PER_DEGREE * 360
+        settled = materialize(closest if whole else closest.where(F.col("distance_m") <= (radius - piece) * 0.99))
+        found = settled if found is None else found.unionByName(settled)
+        open_points = materialize(open_points.join(settled, ["lon", "lat"], "left_anti"))
+        if whole or not open_points.take(1):
+            return found
+        radius *= 4
+
+
+def line_length_by_cell(segments: DataFrame, step: float, piece_m: float = 50.0) -> DataFrame:
+    """Metres of line per grid cell: short pieces counted in the cell of their midpoint."""
+    pieces = line_pieces(segments, piece_m)
+    x, y = grid_cell((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, step)
+    length = haversine(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return pieces.groupBy(x.alias("cx"), y.alias("cy")).agg(F.sum(length).alias("metres"))

@@ -141,14 +141,26 @@ def later_day_baseline(train: DataFrame, later: DataFrame) -> DataFrame:
     )
 
 
-def choose_pilot(summary: DataFrame, samples=20, blocks=3, devices=2) -> DataFrame:
-    """The best-measured area that passes every threshold."""
-    able = summary.where(
-        (F.col("sample_count") >= samples) & (F.col("block_count") >= blocks) & (F.col("device_count") >= devices)
+def choose_pilot(readings: DataFrame, supported: DataFrame | None = None, samples=20, blocks=3, cells=2) -> DataFrame:
+    """The best-measured area that passes every threshold, and how many areas pass.
+
+    `supported` lists areas (area_x, area_y) with a trusted site reference nearby; they come
+    first, then days, blocks and cells decide.
+    """
+    identity = F.struct("mcc", "mnc", "net_type", "lac", "cell_id")
+    areas = readings.groupBy("area_x", "area_y").agg(
+        F.count("*").alias("samples"), F.count_distinct(F.struct("block_x", "block_y")).alias("blocks"),
+        F.count_distinct("day").alias("days"), F.count_distinct(identity).alias("cells"),
     )
-    return able.orderBy(
-        F.col("day_count").desc(), F.col("block_count").desc(), F.col("sample_count").desc(), "area_x", "area_y", *SERVICE_KEYS[:3]
-    ).limit(1)
+    able = areas.where((F.col("samples") >= samples) & (F.col("blocks") >= blocks) & (F.col("cells") >= cells))
+    near = F.lit(False)
+    if supported is not None:
+        able = able.join(supported.distinct().withColumn("_near", F.lit(True)), ["area_x", "area_y"], "left")
+        near = F.coalesce("_near", F.lit(False))
+    able = able.withColumn("has_reference", near).drop("_near")
+    passing = able.agg(F.count("*")).scalar()
+    order = [F.col(c).desc() for c in ("has_reference", "days", "blocks", "cells")]
+    return able.orderBy(*order, "area_x", "area_y").limit(1).withColumn("qualifying_areas", passing)
 
 
 def distance_curve(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -101,11 +101,40 @@ def with_reason_codes(df: DataFrame) -> DataFrame:
     )
 
 
-def equipment_tier(rules: list[tuple[Column, str]], default: str) -> Column:
-    out = None
-    for test, tier in rules:
-        out = F.when(test, tier) if out is None else out.when(test, tier)
-    return out.otherwise(default)
+def equipment_tier() -> Column:
+    """Equipment class of a site; the first rule that fits wins."""
+    density, mhz = F.col("population_density_1km"), F.col("total_bandwidth_mhz")
+    micro = (F.col("primary_tower_type") == "MICRO") | ((density > 2500) & (F.col("dist_to_nearest_site_m") < 250))
+    urban = (density >= 1200) | (mhz >= 40.0) | (F.col("total_carrier_count") >= 3)
+    suburban = (density >= 150) | (mhz >= 20.0) | (F.col("dist_to_nearest_road_m") < 500)
+    return (
+        F.when(is_true(micro), "Micro_Cell_Hotspot")
+        .when(is_true(urban), "Urban_HighCapacity_Macro")
+        .when(is_true(suburban), "Suburban_Standard_Macro")
+        .otherwise("Rural_Coverage_Macro")
+    )
+
+
+def population_class(density_1km: Column) -> Column:
+    return (
+        F.when(density_1km >= 1000.0, "Urban_High_Density")
+        .when(density_1km >= 100.0, "Suburban_Medium_Density")
+        .when(density_1km >= 5.0, "Rural_Low_Density")
+        .otherwise("Remote_Desert")
+    )
+
+
+def road_class(metres: Column) -> Column:
+    return (
+        F.when(metres <= 250.0, "Highway_Corridor")
+        .when(metres <= 1000.0, "Road_Adjacent")
+        .when(metres <= 5000.0, "Moderate_Access")
+        .otherwise("Remote_OffRoad")
+    )
+
+
+def coverage_isolated(nearest_site_m: Column) -> Column:
+    return is_true(nearest_site_m > 5000.0).cast("int")
 
 
 def clipped_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,19 +156,21 @@ def combined_priority(need: Column, probability: Column) -> Column:
 
 def mask_unscorable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells worth scoring, and counts of what was masked (uninhabited only when not water)."""
-    water = is_true(F.col("water_share") >= 0.5)
-    empty = is_true(F.col("population_5km") <= 0) & is_true(F.col("road_m") > 3000.0)
+    water = F.coalesce(F.col("landcover_water_pct"), F.lit(0.0)) >= 50.0
+    empty = is_true((F.col("population_sum_5km") <= 0) & (F.col("dist_to_nearest_road_m") > 3000.0))
     counts = df.agg(
-        F.count_if(water).alias("masked_water"), F.count_if(empty & ~water).alias("masked_uninhabited"),
+        F.count_if(water).alias("water_hexes"), F.count_if(empty & ~water).alias("uninhabited_hexes"),
         F.count_if(~water & ~empty).alias("scorable"),
     )
     return df.where(~water & ~empty), counts
 
 
-def bandwidth_per_thousand(mhz: Column, people: Column) -> Column:
-    return mhz / (people / 1000.0 + 1.0)
+def bandwidth_per_thousand(mhz: Column, people_3km: Column) -> Column:
+    return half_even(mhz / (people_3km / 1000.0 + 1.0), 3)
 
 
-def earlier_site_score(probability: Column, people: Column, gap_m: Column, regional: Column) -> Column:
-    """Site probability x people on a log scale x clipped gap x regional factor."""
-    return probability * F.log10(people + 1.0) * clip(gap_m / 5000.0, 0.1, 2.0) * regional
+def earlier_site_score(suitability: Column, people_5km: Column, gap_m: Column, regional: Column) -> tuple[Column, Column]:
+    """(geospatial, deployment) priority: suitability x people on a log scale x clipped gap x regional factor."""
+    people = F.log10(F.greatest(people_5km, F.lit(10.0)))
+    base = half_even(suitability * people * clip(gap_m / 5000.0, 0.5, 2.0), 2)
+    return base, half_even(base * regional, 2)

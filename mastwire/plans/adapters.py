@@ -52,7 +52,7 @@ VIEWS = {
         FROM {lineitem} GROUP BY CAST(l_shipdate AS DATE)""",
     "v_scores": """
         SELECT d.doc_id AS id, l.quality AS y,
-               round(0.3 * l.quality + 0.7 * ((d.doc_id * 7919) % 1009) / 1009.0, 6) AS score
+               CAST(round(0.3 * l.quality + 0.7 * ((d.doc_id * 7919) % 1009) / 1009.0, 6) AS DOUBLE) AS score
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "v_sites": """
         SELECT s_suppkey AS site_id, 13 + (s_suppkey * 7919 % 7000) / CAST(10000 AS DOUBLE) AS lon,
@@ -236,6 +236,28 @@ VIEWS["v_cells"] = """
                CAST(1600000000 + event_id % 1700 * 80000 AS DOUBLE) AS updated, floor(value / 4) AS samples
         FROM {events}"""
 
+# Straight roads between successive sites of a nation.
+VIEWS["v_roads"] = """
+        SELECT site_id AS road_id, lon AS x1, lat AS y1, x2, y2
+        FROM (SELECT s.*, lead(lon) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS x2,
+                     lead(lat) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS y2
+              FROM {v_sites} s JOIN {supplier} ON s_suppkey = site_id) AS pairs
+        WHERE x2 IS NOT NULL"""
+
+VIEWS["v_households"] = """
+        SELECT c_custkey AS customer_id, round((c_custkey * 7919 % 1000) / CAST(1000 AS DOUBLE), 3) AS churn_probability,
+               abs(c_acctbal) / 90 AS monthly_charge, abs(c_acctbal) / 2 AS total_revenue,
+               abs(c_acctbal) / 3 AS total_charges,
+               CASE WHEN c_nationkey % 3 = 0 THEN 'Month-to-Month' ELSE 'One Year' END AS contract,
+               CASE WHEN c_nationkey % 4 = 0 THEN 'Fiber Optic' WHEN c_nationkey % 4 = 1 THEN 'No internet service' ELSE 'Cable' END AS internet_type,
+               CASE WHEN c_nationkey % 5 = 0 THEN 'Offer E' ELSE 'Offer A' END AS current_offer,
+               CASE WHEN c_acctbal < 0 THEN -c_acctbal / 10 ELSE CAST(0 AS DOUBLE) END AS extra_data_charges,
+               CASE WHEN c_acctbal > 9000 THEN CAST(15 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS refunds,
+               abs(c_acctbal) / 120 AS gb_download, c_custkey * 31 % 90 AS tenure_months,
+               c_nationkey % 2 = 0 AS phone_service, c_nationkey % 3 = 0 AS online_security, c_acctbal > 4000 AS premium_tech_support,
+               c_nationkey > 10 AS streaming_tv, c_nationkey > 12 AS streaming_movies, c_acctbal > 1000 AS streaming_music
+        FROM {customer}"""
+
 _NAME = re.compile(r"\{([a-z]\w*)\}")
 
 

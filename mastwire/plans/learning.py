@@ -129,3 +129,63 @@ def tower_graph_features(spark, sf):
     values = view(spark, sf, "v_tower_day").select("date", "tower", (F.col("users") / 100).alias("load"))
     hops = H.propagated(values, edges, ["load"])
     return hops.join(H.attention_means(values, edges, "load"), ["date", "tower"], "left")
+
+
+@query("band_series_champions")
+def band_series_champions(spark, sf):
+    keys = ("connected_users", "availability_pct", "erab_drop_rate")
+    panel = N.long_panel(N.bounded(bands(spark, sf)), ["band", "date"], keys)
+    log_scale = F.col("kpi").isin(*[k.key for k in N.KPIS if k.scale == "log1p"])
+    return D.select_champions(panel, ["band", "kpi"], "date", "value", log_scale)
+
+
+@query("tower_model_leaderboard")
+def tower_model_leaderboard(spark, sf):
+    rows = P.time_features(view(spark, sf, "v_tower_day").select("tower", "date", "users"), ["tower"], "date", "users")
+    rows = P.split_by_position(rows.withColumns(calendar_features(F.col("date"))), ["tower"], "date", "truncate").dropna()
+    features = [c for c in rows.columns if c not in ("tower", "date", "users", "split")]
+    return D.leaderboard(rows, features, "users", "lag_7")
+
+
+@query("tower_feature_importance")
+def tower_feature_importance(spark, sf):
+    rows = P.time_features(view(spark, sf, "v_tower_day").select("tower", "date", "users"), ["tower"], "date", "users")
+    rows = rows.withColumns(calendar_features(F.col("date"))).dropna()
+    features = [c for c in rows.columns if c not in ("tower", "date", "users")]
+    model = D.fit_panel(rows, features, "users", rounds=5)
+    return D.importances(model.stages[-1].featureImportances.toArray(), features, spark)
+
+
+@query("churn_release_gate")
+def churn_release_gate(spark, sf):
+    scores = view(spark, sf, "v_scores")
+    metrics = E.ranking_metrics(scores, "score", "y").first().asDict()
+    capture = E.top_shares(scores, "id", "score", "y", (0.10,)).first()["recall"]
+    rows = [(c["check"], float(c["value"]), bool(c["passed"])) for c in E.release_checks(metrics, capture, None)]
+    return spark.createDataFrame(rows, "check string, value double, passed boolean")
+
+
+@query(
+    "weekday_forecast_intervals",
+    """WITH r AS (SELECT tower, date, users, isodow(date) - 1 AS dow, row_number() OVER (PARTITION BY tower ORDER BY date DESC) AS b, count(*) OVER (PARTITION BY tower) AS n FROM {v_tower_day}),
+        l AS (SELECT tower, coalesce(median(users) FILTER (n >= 14 AND b <= 14), median(users)) AS lvl, max(date) AS d0, arg_max(users, date) AS last, stddev_samp(users) AS sd FROM r GROUP BY tower),
+        m AS (SELECT tower, dow, coalesce(median(users) FILTER (b <= 56), median(users)) AS m FROM r GROUP BY tower, dow),
+        f AS (SELECT l.tower, d0 + CAST(k.h AS INT) + 1 AS date, k.h AS step, coalesce(m.m, lvl) AS v, last, sd FROM l CROSS JOIN (SELECT unnest(range(14)) AS h) k
+              LEFT JOIN m ON m.tower = l.tower AND m.dow = isodow(d0 + CAST(k.h AS INT) + 1) - 1),
+        a AS (SELECT *, v + (last - first_value(v) OVER (PARTITION BY tower ORDER BY step)) * exp(-0.07 * step) AS x FROM f)
+       SELECT tower, CAST(date AS DATE) AS date, CAST(step AS INT) AS step, round(x, 5) AS users, round(x - 1.28 * sd * (1 + sqrt((step + 1) / 7.0)), 5) AS lower_80, round(x + 1.96 * sd * (1 + sqrt((step + 1) / 7.0)), 5) AS upper_95 FROM a""",
+)
+def weekday_forecast_intervals(spark, sf):
+    day = view(spark, sf, "v_tower_day").select("tower", "date", "users")
+    ends = day.groupBy("tower").agg(
+        F.max("date").alias("_last"), F.max_by("users", "date").alias("_end"), F.stddev_samp("users").alias("_sd")
+    )
+    ahead = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(13)))).withColumn(
+        "date", F.date_add("_last", F.col("step") + 1)
+    )
+    ahead = ahead.withColumn("day_of_week", F.weekday("date"))
+    usual = P.weekday_medians(day, ["tower"], "date", "users").select("tower", "day_of_week", F.col("prediction").alias("users"))
+    out = E.anchored(ahead.join(usual, ["tower", "day_of_week"]), ["tower"], "step", "users", F.col("_end"))
+    out = E.widened(out, "users", F.col("_sd"), F.col("step") + 1)
+    out = out.select("tower", "date", "step", "users", "lower_80", "upper_95")
+    return rounded(out, "users", "lower_80", "upper_95", digits=5)

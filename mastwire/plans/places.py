@@ -297,13 +297,13 @@ def signal_distance_curve(spark, sf):
 
 @query(
     "pilot_area",
-    f"""WITH {MEASURE_SQL}, b AS ({BLOCK_SQL.format(where="")}), s AS (SELECT mcc, mnc, net_type, area_x, area_y, CAST(sum(samples) AS BIGINT) AS sample_count, count(DISTINCT day) AS day_count, count(DISTINCT device) AS device_count,
-          count(DISTINCT (block_x, block_y)) AS block_count FROM b GROUP BY 1, 2, 3, 4, 5)
-        SELECT * FROM s WHERE sample_count >= 2 AND block_count >= 1 AND device_count >= 1 ORDER BY day_count DESC, block_count DESC, sample_count DESC, area_x, area_y, mcc, mnc, net_type LIMIT 1""",
+    f"""WITH {MEASURE_SQL}, a AS (SELECT area_x, area_y, count(*) AS samples, count(DISTINCT (block_x, block_y)) AS blocks, count(DISTINCT day) AS days,
+          count(DISTINCT (mcc, mnc, net_type, lac, cell_id)) AS cells, bool_or(mnc = 1) AS r FROM mb GROUP BY 1, 2), q AS (SELECT * FROM a WHERE samples >= 20 AND blocks >= 3 AND cells >= 2)
+        SELECT area_x, area_y, samples, blocks, days, cells, r AS has_reference, (SELECT count(*) FROM q) AS qualifying_areas FROM q ORDER BY r DESC, days DESC, blocks DESC, cells DESC, area_x, area_y LIMIT 1""",
 )
 def pilot_area(spark, sf):
-    out = I.choose_pilot(I.service_summary(measured(spark, sf)), samples=2, blocks=1, devices=1)
-    return out.drop("median_dbm", "p10_dbm", "p90_dbm")
+    rows = measured(spark, sf)
+    return I.choose_pilot(rows, rows.where("mnc = 1").select("area_x", "area_y"))
 
 
 @query(
