@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mastwire.functions.numeric import clip, finite, half_even, is_true
-from mastwire.operators.ordered import quantile_values
+from mastwire.operators.ordered import quantiles_by
 
 # Planning constraints.
 MIN_GAP_M, MIN_PEOPLE, MAX_ROAD_M, SEPARATION_M = 3000.0, 300.0, 4000.0, 2500.0
@@ -139,13 +139,15 @@ def coverage_isolated(nearest_site_m: Column) -> Column:
 
 def clipped_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column scaled between its 2nd and 98th percentile; neutral 0.5 where it says nothing."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    limits = {r["column"]: r for r in quantiles_by(long, ["column"], "value", {"low": 0.02, "high": 0.98}).collect()}
     out = df
     for c in columns:
-        low, high = quantile_values(df, c, [0.02, 0.98])
-        if low is None or high <= low:
+        q = limits.get(c)
+        if q is None or q["high"] <= q["low"]:
             out = out.withColumn(f"{c}_scaled", F.lit(0.5))
             continue
-        scaled = clip((F.col(c) - low) / (high - low), 0, 1)
+        scaled = clip((F.col(c) - q["low"]) / (q["high"] - q["low"]), 0, 1)
         out = out.withColumn(f"{c}_scaled", F.coalesce(scaled, F.lit(0.5)))
     return out
 

@@ -78,7 +78,7 @@ VIEWS = {
                13 + (user_id * 7919 % 700) / CAST(1000 AS DOUBLE) + value / 100000 AS longitude,
                CAST(32.6 AS DOUBLE) + (user_id * 104729 % 350) / CAST(1000 AS DOUBLE) + value / 100000 AS latitude,
                ts, CAST(event_id % 5 AS INT) AS channel, CAST(floor(value) % 3 AS INT) AS band,
-               CASE WHEN value > 40 THEN value / 10 END AS bandwidth, value
+               CASE WHEN value > 40 THEN floor(value) / CAST(8 AS DOUBLE) END AS bandwidth, value
         FROM {events}""",
 }
 
