@@ -57,7 +57,7 @@ VIEWS = {
     "v_sites": """
         SELECT s_suppkey AS site_id, 13 + (s_suppkey * 7919 % 7000) / CAST(10000 AS DOUBLE) AS lon,
                CAST(32.6 AS DOUBLE) + (s_suppkey * 104729 % 3500) / CAST(10000 AS DOUBLE) AS lat,
-               s_nationkey % 2 = 0 AS has_libyana, s_nationkey % 3 = 0 AS has_almadar,
+               s_nationkey % 2 = 0 AS has_network_a, s_nationkey % 3 = 0 AS has_network_b,
                s_acctbal AS balance
         FROM {supplier}""",
     "v_candidates": """

@@ -42,11 +42,11 @@ def sites(spark, sf):
     "candidate_site_context",
     f"""SELECT c.candidate_id, round(min({CS}), 3) AS dist_to_nearest_site_m, count(*) FILTER ({CS} <= 1000) AS site_density_1km,
           count(*) FILTER ({CS} <= 3000) AS site_density_3km, count(*) FILTER ({CS} <= 5000) AS site_density_5km, count(*) FILTER ({CS} <= 10000) AS site_density_10km,
-          round(min({CS}) FILTER (has_libyana), 3) AS dist_has_libyana_m FROM {{v_candidates}} c CROSS JOIN {{v_sites}} s GROUP BY 1""",
+          round(min({CS}) FILTER (has_network_a), 3) AS dist_has_network_a_m FROM {{v_candidates}} c CROSS JOIN {{v_sites}} s GROUP BY 1""",
 )
 def candidate_site_context(spark, sf):
-    out = D.site_context(candidates(spark, sf).select("candidate_id", "lon", "lat"), sites(spark, sf), flags=("has_libyana",))
-    return rounded(out.drop("lon", "lat"), "dist_to_nearest_site_m", "dist_has_libyana_m", digits=3)
+    out = D.site_context(candidates(spark, sf).select("candidate_id", "lon", "lat"), sites(spark, sf), flags=("has_network_a",))
+    return rounded(out.drop("lon", "lat"), "dist_to_nearest_site_m", "dist_has_network_a_m", digits=3)
 
 
 @query(
@@ -100,13 +100,13 @@ def settlement_rings(spark, sf):
 
 @query(
     "sites_per_cell",
-    """SELECT CAST(floor(lon / 0.05) AS BIGINT) AS cx, CAST(floor(lat / 0.05) AS BIGINT) AS cy, count(*) AS sites, count(*) FILTER (has_libyana) AS libyana, round(avg(balance), 4) AS mean_balance
+    """SELECT CAST(floor(lon / 0.05) AS BIGINT) AS cx, CAST(floor(lat / 0.05) AS BIGINT) AS cy, count(*) AS sites, count(*) FILTER (has_network_a) AS network_a, round(avg(balance), 4) AS mean_balance
        FROM {v_sites} GROUP BY 1, 2""",
 )
 def sites_per_cell(spark, sf):
     x, y = D.grid_cell(F.col("lon"), F.col("lat"), 0.05)
     out = sites(spark, sf).groupBy(x.alias("cx"), y.alias("cy")).agg(
-        F.count("*").alias("sites"), F.count_if("has_libyana").alias("libyana"), F.avg("balance").alias("mean_balance")
+        F.count("*").alias("sites"), F.count_if("has_network_a").alias("network_a"), F.avg("balance").alias("mean_balance")
     )
     return rounded(out, "mean_balance", digits=4)
 
