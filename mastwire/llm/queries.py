@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import packing
+from mastwire.llm import language, packing, pii, quality
 from mastwire.llm.store import table
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predicted(table(spark, folder, "documents"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {}
