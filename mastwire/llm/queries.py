@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import language, packing, pii, quality
+from mastwire.llm import jaccard, language, packing, pii, quality
 from mastwire.llm.store import table
 
 
@@ -26,10 +26,15 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.clusters(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {}
