@@ -8,6 +8,7 @@ their place from the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,11 +16,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mastwire.llm.store import saved
+from mastwire.llm.text import Texts, Words, texts, words
 
 CAPACITY = 4096
 END_ID = 1
@@ -32,85 +33,129 @@ def _tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
+    return tokenizer
 
 
-class _Words:
-    """Ids of white-space separated words, kept for the words met so far.
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    letter, sign = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+    letter[97:123] = letter[65:91] = True
+    sign[33:127] = True
+    sign[48:58] = sign[ord("'")] = False
+    return letter, sign & ~letter
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words'
-    ids in a row. The memory is bounded: it starts anew when it holds ``limit`` words.
-    """
-
-    def __init__(self, name: str, limit: int = 400_000):
-        self.tokenizer, self.limit, self.known = _tokenizer(name), limit, {}
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = list({w for w in words if w not in self.known})
-        for word, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.asarray(encoded.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+LETTER, SIGN = _classes()
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of rows of about ``SLICE_BYTES``, each with the number of its first row."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(texts):
-        base = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, side="right")))
-        yield start, texts.slice(start, end - start)
-        start = end
+class Vocabulary:
+    """Ids of the pieces of text met so far, by the hash of a piece.
 
+    The tokenizer drops white space and starts anew at it, and also where a sign follows a
+    letter. Cut there, a text's ids are its pieces' ids in a row, and a piece is encoded once.
+    The memory is bounded: it starts anew when it holds more than ``limit`` pieces.
+    """
 
-#: The blanks of ASCII become one kind; other Unicode white space stays for the tokenizer.
-_BLANK = np.arange(256, dtype=np.uint8)
-_BLANK[[9, 10, 11, 12, 13]] = 32
+    def __init__(self, name: str, limit: int = 500_000):
+        self.tokenizer, self.limit = _tokenizer(name), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.empty(0, np.uint64)
+        self.at = self.size = np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the pieces in the new run of ids, and their numbers of ids in that order.
+
+        Words of plain letters end in a closing token each, so they go together and are parted
+        again; the rest go one by one.
+        """
+        plain = [i for i, x in enumerate(pieces) if LATIN.fullmatch(x)]
+        rest = sorted(set(range(len(pieces))) - set(plain))
+        order, runs, sizes = [], [self.pool], []
+        for at in range(0, len(plain), 5000):
+            some = plain[at : at + 5000]
+            text = " ".join(pieces[i] for i in some)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
+                rest += some
+                continue
+            order += some
+            runs.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        for i in rest:
+            ids = np.asarray(self.tokenizer.encode(pieces[i], add_special_tokens=False).ids, np.uint32)
+            order.append(i)
+            runs.append(ids)
+            sizes.append(np.array([len(ids)]))
+        self.pool = np.concatenate(runs)
+        return np.array(order), np.concatenate(sizes)
+
+    def look_up(self, part: Texts, found: Words) -> np.ndarray:
+        """Row of every piece, with the new ones encoded and added."""
+        if len(self.hashes) > self.limit:
+            self.clear()
+        unique, first, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
+        row = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), dtype=bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(row, len(self.hashes) - 1)] == unique
+        if not known.all():
+            new = first[~known]
+            data = part.data.tobytes()
+            before = len(self.pool)
+            bounds = zip(found.starts[new].tolist(), found.ends[new].tolist(), strict=True)
+            met, size = self._encode([data[a:b].decode("utf-8").lower() for a, b in bounds])
+            hashes = np.concatenate((self.hashes, unique[~known][met]))
+            at = np.concatenate((self.at, before + np.cumsum(size) - size))
+            order = np.argsort(hashes)
+            self.hashes, self.at = hashes[order], at[order]
+            self.size = np.concatenate((self.size, size))[order]
+            row = np.searchsorted(self.hashes, unique)
+        return row[inverse]
 
 
-def _spaced(texts: pa.Array) -> pa.Array:
-    texts = pa.concat_arrays([texts.cast(pa.large_string())])
-    _, offsets, data = texts.buffers()
-    if data is None:
-        return texts
-    blank = _BLANK[np.frombuffer(data, dtype=np.uint8)]
-    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, pa.py_buffer(blank)], offset=texts.offset)
+@lru_cache(maxsize=2)
+def vocabulary(name: str) -> Vocabulary:
+    """One for each tokenizer in a worker process: later tasks go on with its pieces."""
+    return Vocabulary(name)
 
 
-def token_ids(texts: pa.Array, words: _Words) -> list[np.ndarray]:
+def token_ids(column: pa.Array, pieces: Vocabulary) -> Iterator[np.ndarray]:
     """For each text its ids and the closing id; a null text is an empty one."""
-    out: list[np.ndarray] = []
     end = np.array([END_ID], dtype=np.uint32)
-    for _, part in _slices(texts):
-        pieces = pc.split_pattern(_spaced(pc.fill_null(part, "")), " ")
-        flat = pieces.flatten().dictionary_encode()
-        if isinstance(flat, pa.ChunkedArray):
-            flat = flat.combine_chunks()
-        known = words.ids(flat.dictionary.to_pylist())
-        sizes = np.fromiter((len(x) for x in known), dtype=np.int64, count=len(known))
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        pool = np.concatenate(known) if known else np.empty(0, np.uint32)
-        index = flat.indices.to_numpy().astype(np.int64)
-        lengths = sizes[index]
-        ends = np.cumsum(lengths)
-        # Each word's ids are a run of the pool: shift a running number to each run's start.
-        place = np.repeat(offsets[index] - (ends - lengths), lengths)
-        ids = pool[place + np.arange(len(place))]
-        bounds = np.concatenate(([0], ends))[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
-        out += [np.concatenate((ids[a:b], end)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return out
+    for part in texts(column, SLICE_BYTES):
+        data = part.data
+        cuts = np.zeros(len(data), dtype=bool)
+        cuts[1:] = SIGN[data[1:]] & LETTER[data[:-1]]
+        # Also after a letter of Latin-1, two bytes of which the first is C3 (D7 and F7 are signs).
+        cuts[2:] |= SIGN[data[2:]] & (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7) & (data[1:-1] > 127)
+        found = words(part, cuts=cuts)
+        row = pieces.look_up(part, found)
+        size = pieces.size[row]
+        ends = np.cumsum(size)
+        # Each piece's ids are a run of the pool: shift a running number to each run's start.
+        ids = pieces.pool[np.repeat(pieces.at[row] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[found.bounds]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield np.concatenate((ids[a:b], end))
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only longer documents are cut."""
 
     def cut(batches):
-        words = _Words(tokenizer)
+        pieces = vocabulary(tokenizer)
         for batch in filter(len, batches):
             rows = []
-            for row, ids in enumerate(token_ids(batch.column(1), words)):
+            for row, ids in enumerate(token_ids(batch.column(1), pieces)):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((row, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))

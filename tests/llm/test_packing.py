@@ -12,14 +12,15 @@ def exact_ids(text):
 
 
 ODD = ["", None, "  ", "Hello  world\tit's\n\nfine", "a b c", "été ́x", "x\x1cy\x1dz", "don't we'll 1234 !!??",
-       "naïve ÉTÉ straße 漢字 🙂🙂", "<|endoftext|> tail", "w" * 3000, "a b " * 5000, "tab\x0bvt\x0cff"]
+       "naïve ÉTÉ straße 漢字 🙂🙂", "<|endoftext|> tail", "w" * 3000, "a b " * 5000, "tab\x0bvt\x0cff",
+       "It's, he'll. 'summer' x'.y …, a…b. é.É, ×. a×,b 're's. (the) 's 'sun a'", "ﬁne ＡＢ İstanbul ǅ ñ̃. e\u0301, ab\u0301."]
 
 
 def test_ids_equal_the_tokenizer():
-    got = packing.token_ids(pa.array(ODD), packing._Words(packing.TOKENIZER, limit=5))
+    got = list(packing.token_ids(pa.array(ODD), packing.Vocabulary(packing.TOKENIZER, limit=5)))
     for text, ids in zip(ODD, got, strict=True):
         assert ids.tolist() == exact_ids(text)
-    sliced = packing.token_ids(pa.array(["skip me", *ODD]).slice(1), packing._Words(packing.TOKENIZER))
+    sliced = packing.token_ids(pa.array(["skip me", *ODD]).slice(1), packing.vocabulary(packing.TOKENIZER))
     assert [x.tolist() for x in sliced] == [x.tolist() for x in got]
 
 
@@ -57,3 +58,11 @@ def test_pack_is_whole_and_gapless(spark, capacity):
 
 def test_pack_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_real_texts(spark):
+    from mastwire.llm.store import table
+
+    rows = [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    for text, ids in zip(rows, packing.token_ids(pa.array(rows), packing.vocabulary(packing.TOKENIZER)), strict=True):
+        assert ids.tolist() == exact_ids(text)
