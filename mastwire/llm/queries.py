@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import jaccard, language, packing, pii, quality
+from mastwire.llm import jaccard, language, packing, pii, quality, repeats
 from mastwire.llm.store import table
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removed(table(spark, folder, "documents")).drop("kept")
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
@@ -31,6 +35,7 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_pii": op4_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_language_id": op8_language_id,
