@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import jaccard, language, packing, pii, quality, repeats
+from mastwire.llm import html, jaccard, language, packing, pii, quality, repeats
 from mastwire.llm.store import table
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removed(table(spark, folder, "documents")).drop("kept")
 
@@ -35,6 +39,7 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_pii": op4_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
