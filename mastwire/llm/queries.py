@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import html, jaccard, language, packing, pii, quality, repeats
+from mastwire.llm import html, jaccard, language, neighbours, packing, pii, quality, repeats
 from mastwire.llm.store import table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removed(table(spark, folder, "documents")).drop("kept")
 
 
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_pii": op4_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_language_id": op8_language_id,
