@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import html, jaccard, language, neighbours, packing, pii, quality, repeats
+from mastwire.llm import html, jaccard, language, neighbours, packing, pii, quality, repeats, templates
 from mastwire.llm.store import table
 
 
@@ -30,6 +30,10 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("doc_key")
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(table(spark, folder, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_pii": op4_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
