@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import html, jaccard, language, neighbours, packing, pii, quality, repeats, templates
+from mastwire.llm import chat, html, jaccard, language, neighbours, packing, pii, quality, repeats, templates
 from mastwire.llm.store import table
 
 
@@ -26,6 +26,10 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
 
+def op5_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.linked(chat.from_conversations(table(spark, folder, "conversations")), chat.TOOLS)
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_pii": op4_pii,
+    "op5_tool_call_linking": op5_tool_call_linking,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
