@@ -11,15 +11,19 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mastwire.operators.network import BAND_PREFIXES
 from mastwire.operators.subscribers import CONTRACT, month_column
 
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
 
-# Tower-name prefixes by nation, so that band rules and clusters have something to find.
-PREFIXES = "NT,NT,NT,NT,NT,NT,SUR,TLILM,COW,VIP,TS,SBR,NSB,NSU,ZWY,ZW,PH,NZW,ZAW,TR,T,TI,QA,MS,BNG"
+# Tower-name prefixes by nation, so that band rules and clusters have something to find: the rules'
+# own prefixes in turn, and one that no rule knows.
+NATIONS = 25
+KNOWN_PREFIXES = [prefix for prefixes, _ in BAND_PREFIXES for prefix in prefixes] + ["OTHER"]
+PREFIXES = ",".join(KNOWN_PREFIXES[i % len(KNOWN_PREFIXES)] for i in range(NATIONS))
 
 VIEWS = {
     "v_tower_day": """

@@ -366,7 +366,7 @@ def tower_status(spark, sf):
        UNION ALL SELECT data_date, 'download speed', round_even(dl, 2), NULL, round_even(adl, 2) FROM a""",
 )
 def network_overview(spark, sf):
-    columns = [r.column for r in N.RULES if r.column != "availability_pct"]
+    columns = [column for column, *_ in N.LIMITS if column != "availability_pct"]
     return N.network_overview(N.network_daily(tower_kpi(spark, sf), {c: c for c in columns}))
 
 

@@ -20,6 +20,8 @@ def local_session(cpus: int = 8, app: str = "mastwire") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("MASTWIRE_SHARED_FOLDER") or tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -27,18 +29,16 @@ def local_session(cpus: int = 8, app: str = "mastwire") -> SparkSession:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so lost executors cannot undo the cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder of its own.
+    The folder is the one the session names in ``spark.checkpoint.dir``; a session without it is
+    refused, except one on this machine alone.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a shared folder on the cluster.")
+            if not context.master.startswith("local["):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
