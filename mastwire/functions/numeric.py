@@ -22,6 +22,11 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+def settled(value: Column) -> Column:
+    """Without the noise of summation order, so that a sum on a rounding tie is rounded alike everywhere."""
+    return F.round(value, 8)
+
+
 def is_true(condition: Column) -> Column:
     """A comparison with a missing side is false, never missing."""
     return F.coalesce(condition, F.lit(False))

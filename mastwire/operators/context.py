@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mastwire.functions.numeric import half_even
+from mastwire.functions.numeric import half_even, settled
 from mastwire.operators.geo import nearest, radius_sums
 
 
@@ -146,11 +146,11 @@ def discount_offers(df: DataFrame, acceptance: float = 0.75) -> DataFrame:
     return out.withColumns(
         {
             "risk_level": F.when(p >= 0.6, "High").when(p >= 0.35, "Medium").otherwise("Low"),
-            "new_monthly_charge": half_even(charge * (1 - pct / 100.0), 2),
-            "annual_discount_cost": half_even(cost, 2),
-            "expected_saved_revenue": half_even(saved, 2),
-            "net_retention_gain": half_even(gain, 2),
-            "roi_pct": half_even(F.when(cost > 0, gain / cost * 100.0).otherwise(0.0), 1),
+            "new_monthly_charge": half_even(settled(charge * (1 - pct / 100.0)), 2),
+            "annual_discount_cost": half_even(settled(cost), 2),
+            "expected_saved_revenue": half_even(settled(saved), 2),
+            "net_retention_gain": half_even(settled(gain), 2),
+            "roi_pct": half_even(settled(F.when(cost > 0, gain / cost * 100.0).otherwise(0.0)), 1),
             "notes": F.concat_ws(";", *notes),
         }
     )

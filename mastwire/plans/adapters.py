@@ -29,19 +29,19 @@ VIEWS = {
     "v_tower_day": """
         SELECT concat('TWR_', l_suppkey) AS tower, CAST(l_shipdate AS DATE) AS date,
                sum(l_quantity) AS users,
-               round(avg(l_extendedprice) / 5000, 6) AS download,
-               round(avg(l_extendedprice) / 20000, 6) AS upload,
-               round(avg(l_discount) * 20, 6) AS drop_rate,
-               round(100 * (1 - avg(l_tax) / 2), 6) AS availability
+               round(avg(l_extendedprice) / 5000, 10) AS download,
+               round(avg(l_extendedprice) / 20000, 10) AS upload,
+               round(avg(l_discount) * 20, 10) AS drop_rate,
+               round(100 * (1 - avg(l_tax) / 2), 10) AS availability
         FROM {lineitem} GROUP BY l_suppkey, CAST(l_shipdate AS DATE)""",
     "v_tower_kpi": """
         SELECT tower, date, users AS connected_users, download AS dl_throughput_mbps,
                upload AS ul_throughput_mbps, drop_rate AS erab_drop_rate,
                availability AS availability_pct,
-               round(100 - drop_rate / 2, 6) AS rrc_setup_sr,
-               round(100 - (100 - availability) / 3, 6) AS erab_estab_sr,
-               round(100 - drop_rate * 1.5, 6) AS handover_sr,
-               round(1 - drop_rate / 60, 6) AS handover_intra_sr
+               round(100 - drop_rate / 2, 10) AS rrc_setup_sr,
+               round(100 - (100 - availability) / 3, 10) AS erab_estab_sr,
+               round(100 - drop_rate * 1.5, 10) AS handover_sr,
+               round(1 - drop_rate / 60, 10) AS handover_intra_sr
         FROM {v_tower_day}""",
     "v_tower_map": f"""
         SELECT concat('TWR_', s_suppkey) AS tower,

@@ -354,10 +354,10 @@ def top_share_metrics(spark, sf):
 @query(
     "reliability_table",
     """WITH r AS (SELECT score, y, row_number() OVER (ORDER BY score, id) AS i, count(*) OVER () AS n FROM {v_scores})
-       SELECT CAST(greatest(ceil((i - 1) * 10 / (n - 1)), 1) AS BIGINT) AS bin, count(*) AS customers, round(avg(score), 6) AS predicted, round(avg(y), 6) AS observed FROM r GROUP BY 1""",
+       SELECT CAST(greatest(ceil((i - 1) * 10 / (n - 1)), 1) AS BIGINT) AS bin, count(*) AS customers, avg(score) AS predicted, avg(y) AS observed FROM r GROUP BY 1""",
 )
 def reliability_table(spark, sf):
-    return rounded(E.reliability(scores(spark, sf), "id", "score", "y"), "predicted", "observed")
+    return E.reliability(scores(spark, sf), "id", "score", "y")
 
 
 @query(

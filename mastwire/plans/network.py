@@ -9,6 +9,7 @@ from mastwire.functions.calendar import calendar_features, harmonic_features, we
 from mastwire.functions.numeric import half_even
 from mastwire.operators import network as N
 from mastwire.operators import panel as P
+from mastwire.operators.models import TRANSIT
 from mastwire.operators import steering as S
 from mastwire.plans.adapters import view
 from mastwire.plans.registry import query
@@ -182,8 +183,8 @@ def band_kpi_status(spark, sf):
 
 @query(
     "kpi_bounds_long",
-    """SELECT tower, date, kpi, round(CASE WHEN kpi = 'erab_drop_rate' THEN least(greatest(value, 0), 100)
-              WHEN kpi = 'handover_intra_sr' THEN least(greatest(value, 0), 1) ELSE greatest(value, 0) END, 6) AS bounded
+    """SELECT tower, date, kpi, CASE WHEN kpi = 'erab_drop_rate' THEN least(greatest(value, 0), 100)
+              WHEN kpi = 'handover_intra_sr' THEN least(greatest(value, 0), 1) ELSE greatest(value, 0) END AS bounded
        FROM (SELECT tower, date, 'erab_drop_rate' AS kpi, erab_drop_rate * 60 AS value FROM {v_tower_kpi}
              UNION ALL SELECT tower, date, 'handover_intra_sr', handover_intra_sr * 1.01 FROM {v_tower_kpi}
              UNION ALL SELECT tower, date, 'dl_throughput_mbps', dl_throughput_mbps - 5 FROM {v_tower_kpi}) x""",
@@ -196,7 +197,7 @@ def kpi_bounds_long(spark, sf):
     )
     long = N.long_panel(raw, ["tower", "date"])
     return long.select(
-        "tower", "date", "kpi", F.round(N.bounded_value(F.col("kpi"), F.col("value")), 6).alias("bounded")
+        "tower", "date", "kpi", N.bounded_value(F.col("kpi"), F.col("value")).alias("bounded")
     )
 
 
@@ -292,7 +293,13 @@ ALERT_SQL = """mx AS (SELECT max(date) AS latest FROM {v_tower_kpi}),
       count(*) FILTER (date > latest - 7 AND rrc_setup_sr < 99.5) AS m_rrc,
       count(*) FILTER (date > latest - 7 AND erab_estab_sr < 99.5) AS m_es,
       count(*) FILTER (date > latest - 7 AND handover_sr < 97.5) AS m_ho,
-      count(*) FILTER (date > latest - 7 AND dl_throughput_mbps < 2) AS m_dl
+      count(*) FILTER (date > latest - 7 AND dl_throughput_mbps < 2) AS m_dl,
+      avg(availability_pct) FILTER (date > latest - 7) AS a_av,
+      avg(erab_drop_rate) FILTER (date > latest - 7) AS a_dr,
+      avg(rrc_setup_sr) FILTER (date > latest - 7) AS a_rrc,
+      avg(erab_estab_sr) FILTER (date > latest - 7) AS a_es,
+      avg(handover_sr) FILTER (date > latest - 7) AS a_ho,
+      avg(dl_throughput_mbps) FILTER (date > latest - 7) AS a_dl
     FROM {v_tower_kpi}, mx WHERE date > latest - 35 GROUP BY tower),
   p AS (
     SELECT tower, CASE WHEN av < 50 THEN 0 ELSE 2 END AS rk, av < 50 AS severe, m_av AS days, 'availability' AS kind FROM w WHERE av < 95
@@ -334,13 +341,13 @@ def tower_alert_listing(spark, sf):
     "tower_status",
     f"""WITH {ALERT_SQL} SELECT tower, reported, days_reported, round_even(usual, 2) AS usual_users, kpi, round_even(v, 2) AS value,
          CASE WHEN v IS NULL THEN 'not reported' WHEN severe THEN 'past severe limit' WHEN missed THEN 'missed target' ELSE 'ok' END AS status,
-         days_missed FROM (
-         SELECT tower, reported, days_reported, usual, 'cell availability' AS kpi, av AS v, av < 50 AS severe, av < 95 AS missed, m_av AS days_missed FROM w
-         UNION ALL SELECT tower, reported, days_reported, usual, 'call drop rate', dr, dr > 1, dr > 0.5, m_dr FROM w
-         UNION ALL SELECT tower, reported, days_reported, usual, 'connection setup success', rrc, rrc < 98, rrc < 99.5, m_rrc FROM w
-         UNION ALL SELECT tower, reported, days_reported, usual, 'data session setup success', es, es < 98, es < 99.5, m_es FROM w
-         UNION ALL SELECT tower, reported, days_reported, usual, 'handover success', ho, ho < 90, ho < 97.5, m_ho FROM w
-         UNION ALL SELECT tower, reported, days_reported, usual, 'download speed', dl, dl < 2, false, m_dl FROM w) x
+         days_missed, CAST(round_even(CAST(a AS DECIMAL(18, 8)), 2) AS DOUBLE) AS average_last_7 FROM (
+         SELECT tower, reported, days_reported, usual, 'cell availability' AS kpi, av AS v, av < 50 AS severe, av < 95 AS missed, m_av AS days_missed, a_av AS a FROM w
+         UNION ALL SELECT tower, reported, days_reported, usual, 'call drop rate', dr, dr > 1, dr > 0.5, m_dr, a_dr FROM w
+         UNION ALL SELECT tower, reported, days_reported, usual, 'connection setup success', rrc, rrc < 98, rrc < 99.5, m_rrc, a_rrc FROM w
+         UNION ALL SELECT tower, reported, days_reported, usual, 'data session setup success', es, es < 98, es < 99.5, m_es, a_es FROM w
+         UNION ALL SELECT tower, reported, days_reported, usual, 'handover success', ho, ho < 90, ho < 97.5, m_ho, a_ho FROM w
+         UNION ALL SELECT tower, reported, days_reported, usual, 'download speed', dl, dl < 2, false, m_dl, a_dl FROM w) x
        WHERE tower = 'TWR_7'""",
 )
 def tower_status(spark, sf):
@@ -348,7 +355,7 @@ def tower_status(spark, sf):
     # The latest day is the whole panel's, so the lookup keeps every tower until then.
     latest = N.latest_day(rows)
     one = rows.where((F.col("tower") == "TWR_7") | ((F.col("date") == F.lit(latest)) & (F.col("tower") != "TWR_7")))
-    return N.tower_status(one, "TWR_7").drop("position", "average_last_7")
+    return N.tower_status(one, "TWR_7").drop("position")
 
 
 @query(
@@ -631,9 +638,9 @@ def harmonic_features_query(spark, sf):
     "exogenous_join",
     f"""WITH {BANDS_SQL}, c AS (SELECT date, avg(availability_pct) AS availability, avg(connected_users) AS users FROM bands GROUP BY date),
        m AS (SELECT date, avg(dl_throughput_mbps) AS macro_dl, avg(erab_drop_rate) AS macro_drop FROM {{v_tower_kpi}} GROUP BY date)
-     SELECT t.date, volume, round(macro_dl + 1e-7, 5) AS macro_dl, round(macro_drop + 1e-7, 5) AS macro_drop, round(availability + 1e-7, 5) AS availability,
-       round(lag(users) OVER (ORDER BY t.date) + 1e-7, 5) AS exo_users_lag1,
-       round(CASE WHEN count(users) OVER w >= 3 THEN avg(users) OVER w END + 1e-7, 5) AS exo_users_roll7
+     SELECT t.date, volume, round(macro_dl, 9) AS macro_dl, round(macro_drop, 9) AS macro_drop, round(availability, 9) AS availability,
+       round(lag(users) OVER (ORDER BY t.date), 9) AS exo_users_lag1,
+       round(CASE WHEN count(users) OVER w >= 3 THEN avg(users) OVER w END, 9) AS exo_users_roll7
      FROM {{v_traffic}} t JOIN m ON t.date = m.date JOIN c ON t.date = c.date WINDOW w AS (ORDER BY t.date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""",
 )
 def exogenous_join(spark, sf):
@@ -646,9 +653,8 @@ def exogenous_join(spark, sf):
             "exo_users_roll7": P.rolling("users", ["series"], DATE, 7, "mean", 3),
         }
     ).drop("series", "users")
-    names = ["macro_dl", "macro_drop", "availability", "exo_users_lag1", "exo_users_roll7"]
-    # Means of a few readings often end exactly on a rounding tie; the shift moves them off it.
-    return rounded(out.withColumns({c: F.col(c) + 1e-7 for c in names}), *names, digits=5)
+    # The noise of the last digits goes, and nothing else.
+    return rounded(out, "macro_dl", "macro_drop", "availability", "exo_users_lag1", "exo_users_roll7", digits=9)
 
 
 @query(
@@ -704,29 +710,30 @@ def band_forecast_summary(spark, sf):
 
 @query(
     "forecast_breach_days",
-    f"""WITH {BANDS_SQL}, l AS (SELECT band, date, 'availability_pct' AS kpi, round(availability_pct + 1e-7, 5) >= 99.5 AS ok FROM bands
-        UNION ALL SELECT band, date, 'erab_drop_rate', round(erab_drop_rate + 1e-7, 5) <= 0.5 FROM bands),
+    f"""WITH {BANDS_SQL}, l AS (SELECT band, date, 'availability_pct' AS kpi, round(availability_pct, 9) >= 99.5 AS ok FROM bands
+        UNION ALL SELECT band, date, 'erab_drop_rate', round(erab_drop_rate, 9) <= 0.5 FROM bands),
       r AS (SELECT *, row_number() OVER (PARTITION BY band, kpi ORDER BY date) AS h FROM l)
      SELECT band, kpi, count(*) AS forecast_days, count(*) FILTER (NOT ok) AS forecast_breach_days FROM r WHERE h <= 365 GROUP BY band, kpi""",
 )
 def forecast_breach_days(spark, sf):
     panel = N.long_panel(bands(spark, sf), ["band", "date"], ("availability_pct", "erab_drop_rate"))
-    # Means that sit exactly on a target are rounded, so summation order cannot move them.
-    return N.breach_days(panel.withColumn("value", F.round(F.col("value") + 1e-7, 5)), 365)
+    # Noise of the last digits goes, so the order of summation cannot move a mean over its target.
+    return N.breach_days(panel.withColumn("value", F.round("value", 9)), 365)
 
 
 @query(
     "synergy_exports",
-    f"""WITH {PROFILE_SQL} SELECT 'antenna' AS target, tower, round_even(us / 10.0 + 10.0 / (dl + 0.1) + violations * 2.0, 2) AS weight FROM prof
-         WHERE us >= 18 OR dl < 6
-       UNION ALL SELECT 'churn', tower, round_even((100.0 - health) * 0.5 + drp * 30.0 + CAST(sleeping AS INT) * 20.0, 2) FROM prof
+    f"""WITH {PROFILE_SQL} SELECT 'antenna' AS target, tower, CAST(round_even(CAST(us / 10.0 + 10.0 / (dl + 0.1) + violations * 2.0 AS DECIMAL(18, 8)), 2) AS DOUBLE) AS weight FROM prof
+         WHERE us >= 18 OR dl < 6 OR ho < 97
+       UNION ALL SELECT 'churn', tower, CAST(round_even(CAST((100.0 - health) * 0.5 + drp * 30.0 + CAST(sleeping AS INT) * 20.0 AS DECIMAL(18, 8)), 2) AS DOUBLE) FROM prof
          WHERE health < 75 OR drp > 0.4 OR sleeping""",
 )
 def synergy_exports(spark, sf):
+    # A tower's own averages name its persona here: poor handover is the transit corridor's mark.
+    persona = F.when(F.col("handover_sr_mean") < 97.0, TRANSIT)
     profile = N.tower_profile(tower_kpi(spark, sf)).withColumns(
-        {"operational_persona": F.lit(None).cast("string"), "is_sleeping_cell": F.col("is_sleeping_suspect")}
+        {"operational_persona": persona, "is_sleeping_cell": F.col("is_sleeping_suspect")}
     )
-    profile = profile.withColumn("operational_persona", F.lit("Balanced"))
     antenna = N.antenna_targets(profile).select(
         F.lit("antenna").alias("target"), "tower", F.col("antenna_recommendation_priority").alias("weight")
     )

@@ -114,7 +114,7 @@ def sites_per_cell(spark, sf):
 @query(
     "grid_terrain_slope",
     """WITH g AS (SELECT CAST(floor(lon / 0.02) AS BIGINT) AS px, CAST(floor(lat / 0.02) AS BIGINT) AS py, avg(balance) / 10 AS e FROM {v_candidates} GROUP BY 1, 2)
-       SELECT g.px, g.py, round(g.e + 1e-7, 4) AS elevation, round(degrees(atan(sqrt(pow((a.e - b.e) / 4000.0, 2) + pow((c.e - d.e) / 4000.0, 2)))), 5) AS slope_deg
+       SELECT g.px, g.py, g.e AS elevation, round(degrees(atan(sqrt(pow((a.e - b.e) / 4000.0, 2) + pow((c.e - d.e) / 4000.0, 2)))), 5) AS slope_deg
        FROM g LEFT JOIN g a ON a.px = g.px + 1 AND a.py = g.py LEFT JOIN g b ON b.px = g.px - 1 AND b.py = g.py
          LEFT JOIN g c ON c.px = g.px AND c.py = g.py + 1 LEFT JOIN g d ON d.px = g.px AND d.py = g.py - 1
        WHERE a.px IS NOT NULL OR b.px IS NOT NULL OR c.px IS NOT NULL OR d.px IS NOT NULL""",
@@ -122,8 +122,7 @@ def sites_per_cell(spark, sf):
 def grid_terrain_slope(spark, sf):
     x, y = D.grid_cell(F.col("lon"), F.col("lat"), 0.02)
     pixels = candidates(spark, sf).groupBy(x.alias("px"), y.alias("py")).agg((F.avg("balance") / 10).alias("elevation"))
-    out = D.terrain(pixels, 2000.0).withColumn("elevation", F.col("elevation") + 1e-7)
-    return rounded(rounded(out, "elevation", digits=4), "slope_deg", digits=5)
+    return rounded(D.terrain(pixels, 2000.0), "slope_deg", digits=5)
 
 
 @query(

@@ -185,19 +185,19 @@ def household_features(spark, sf):
             WHEN churn_probability >= 0.35 AND contract = 'Month-to-Month' THEN 'PROACTIVE_SAVE' WHEN churn_probability >= 0.35 THEN 'LOYALTY_COURTESY' ELSE 'NO_DISCOUNT' END AS retention_tier FROM {v_households}),
         d AS (SELECT *, CASE retention_tier WHEN 'VIP_SAVE' THEN 20 WHEN 'STANDARD_SAVE' THEN 15 WHEN 'PROACTIVE_SAVE' THEN 12 WHEN 'LOYALTY_COURTESY' THEN 5 ELSE 0 END AS discount_pct FROM t),
         c AS (SELECT *, monthly_charge * 12 * discount_pct / 100.0 AS cost, monthly_charge * 12 * churn_probability * 0.75 AS saved FROM d)
-       SELECT customer_id, retention_tier, discount_pct, round(cost + 1e-6, 3) AS cost, round(CASE WHEN discount_pct > 0 THEN saved - cost ELSE 0 END + 1e-6, 3) AS gain,
+       SELECT customer_id, retention_tier, discount_pct, CASE WHEN churn_probability >= 0.6 THEN 'High' WHEN churn_probability >= 0.35 THEN 'Medium' ELSE 'Low' END AS risk_level,
+         CAST(round_even(CAST(monthly_charge * (1 - discount_pct / 100.0) AS DECIMAL(18, 8)), 2) AS DOUBLE) AS new_monthly_charge, CAST(round_even(CAST(cost AS DECIMAL(18, 8)), 2) AS DOUBLE) AS annual_discount_cost, CAST(round_even(CAST(saved AS DECIMAL(18, 8)), 2) AS DOUBLE) AS expected_saved_revenue,
+         CAST(round_even(CAST(CASE WHEN discount_pct > 0 THEN saved - cost ELSE 0 END AS DECIMAL(18, 8)), 2) AS DOUBLE) AS net_retention_gain,
+         CAST(round_even(CAST(CASE WHEN cost > 0 THEN (saved - cost) / cost * 100.0 ELSE 0 END AS DECIMAL(18, 8)), 1) AS DOUBLE) AS roi_pct,
          concat_ws(';', CASE WHEN current_offer = 'Offer E' THEN 'migrate_from_offer_e' END, CASE WHEN extra_data_charges > 0 THEN 'bill_shock' END, CASE WHEN refunds > 0 THEN 'service_friction' END,
            CASE WHEN internet_type = 'Fiber Optic' AND NOT premium_tech_support THEN 'fiber_without_support' END,
            CASE WHEN gb_download >= 50 THEN 'heavy_data_user' WHEN gb_download < 10 AND internet_type <> 'No internet service' THEN 'low_data_user' END) AS notes FROM c""",
 )
 def discount_offers(spark, sf):
     out = S.discount_offers(view(spark, sf, "v_households"))
-    # The two amounts before rounding to money, so that both engines agree on halves.
-    yearly = F.col("monthly_charge") * 12
-    cost = yearly * F.col("discount_pct") / 100.0
-    gain = F.when(F.col("discount_pct") > 0, yearly * F.col("churn_probability") * 0.75 - cost).otherwise(0.0)
     return out.select(
-        "customer_id", "retention_tier", "discount_pct", F.round(cost + 1e-6, 3).alias("cost"), F.round(gain + 1e-6, 3).alias("gain"), "notes"
+        "customer_id", "retention_tier", "discount_pct", "risk_level", "new_monthly_charge", "annual_discount_cost",
+        "expected_saved_revenue", "net_retention_gain", "roi_pct", "notes",
     )
 
 
