@@ -127,7 +127,7 @@ def release_checks(metrics: dict, capture: float, baseline_pr_auc: float | None)
     ]
 
 
-def bootstrap(df: DataFrame, score: str, label: str, repeats: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, score: str, label: str, repeats: int = 2000, seed: int = 42) -> DataFrame:
     """ROC-AUC and average precision on resamples, with each row drawn Poisson(1) times.
 
     Equal (score, label) rows are counted first; c such rows together are drawn Poisson(c)

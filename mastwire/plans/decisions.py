@@ -373,9 +373,10 @@ def threshold_sweep(spark, sf):
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark, sf):
-    samples = E.bootstrap(scores(spark, sf), "score", "y", repeats=200)
+    repeats = 2000
+    samples = E.bootstrap(scores(spark, sf), "score", "y", repeats=repeats)
     return samples.agg(
-        F.count("*").alias("replicates"),
+        F.count("*").alias("replicates"), (repeats - F.count("*")).alias("one_class_replicates"),
         *[F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in ("roc_auc", "pr_auc") for n, q in (("low", 0.025), ("high", 0.975))],
     )
 

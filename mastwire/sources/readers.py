@@ -118,10 +118,22 @@ def read_radio_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_footprints(spark: SparkSession, path: str) -> DataFrame:
-    """Building outlines from JSON lines (plain or gzipped): id, ring and its mean point."""
-    schema = "id string, geometry struct<type:string, coordinates:array<array<array<double>>>>"
-    ring = F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
-    rows = spark.read.schema(schema).json(path).where(F.col("geometry.type") == "Polygon").select("id", ring.alias("ring"))
+    """Building outlines from JSON lines (plain or gzipped): one row for each polygon of a building.
+
+    part counts a building's polygons from 0; ring is the outer ring, holes are the inner ones,
+    and (lon, lat) is the ring's mean point. Other geometries have no outline and give no row.
+    """
+    rows = spark.read.schema("id string, geometry struct<type:string, coordinates:string>").json(path)
+    polygon, text = "array<array<array<double>>>", F.col("geometry.coordinates")
+    polygons = F.when(F.col("geometry.type") == "Polygon", F.array(F.from_json(text, polygon))).when(
+        F.col("geometry.type") == "MultiPolygon", F.from_json(text, f"array<{polygon}>")
+    )
+    points = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    rows = rows.select("id", F.posexplode(polygons).alias("part", "rings")).where(F.size("rings") > 0)
+    rows = rows.select(
+        "id", "part", points(F.col("rings")[0]).alias("ring"),
+        F.transform(F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0))), points).alias("holes"),
+    )
     mean = lambda f: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[f]) / F.size("ring")
     return rows.withColumns({"lon": mean("lon"), "lat": mean("lat")})
 
@@ -129,10 +141,12 @@ def read_footprints(spark: SparkSession, path: str) -> DataFrame:
 def source_checks(spark: SparkSession, folder: str, lock: DataFrame) -> DataFrame:
     """Every declared file against its recorded SHA-256: ok, changed, missing or undeclared.
 
-    The lock has file, sha256, group and required. Files are hashed where they are read.
+    The lock has file (its path below the folder), sha256, group and required. Files are hashed
+    where they are read, and files of one name in different folders are different files.
     """
+    below = rf"\Q{folder.rstrip('/').removeprefix('file://')}\E/+(.*)$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("found")
+        F.regexp_extract("path", below, 1).alias("file"), F.sha2("content", 256).alias("found")
     )
     state = (
         F.when(F.col("sha256").isNull(), "undeclared").when(F.col("found").isNull(), "missing")
