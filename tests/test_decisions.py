@@ -72,3 +72,34 @@ def test_reviews_are_checked(spark):
     )
     found = {r["subscriber_id"]: r["problem"] for r in G.review_problems(events, rows, "c1").collect()}
     assert found == {"b": "not a pending proposal", "c": "no reviewer", "d": "another campaign"}
+
+
+def test_best_offer_of_a_large_catalogue_equals_the_plain_search(spark):
+    rng = random.Random(7)
+    maybe = lambda x: x if rng.random() < 0.5 else None
+    rows = [("base", 40.0, 720, 10.0, 0, None, 0, None, None, None), ("pref", 12.0, 720, None, 1, None, 0, None, None, 1)]
+    rows += [(f"o{i:05d}", round(rng.uniform(2, 60), 2), rng.choice([24, 168, 720, 1440]), maybe(rng.choice([1.0, 5.0])), rng.choice([0, 0, 1]),
+              maybe(60.0), rng.choice([0, 0, 1]), rng.choice([None, None, "x"]), rng.choice([None, 1, 4]), None) for i in range(12_000)]
+    schema = ("offer_id string, price_lyd double, validity_hours int, data_gb double, data_unlimited int, voice_minutes double, "
+              "voice_unlimited int, network string, members int, valid_from_hour int")
+    policy = R.Policy("base", "pref")
+    offers = spark.createDataFrame(rows, schema)
+    people = [(f"s{i}", rng.choice([None, 0.1, 0.6, 0.9]), rng.choice([None, 20.0, 300.0, 4000.0]), rng.choice(["PAYG", "base", "o00007", "o00011"]),
+               rng.random() < 0.7, rng.random() < 0.5) for i in range(60)]
+    frame = spark.createDataFrame(people, "id string, churn_probability double, value_12m_base_lyd double, bundle_held string, uses_data boolean, uses_voice boolean")
+    got = {r.id: (r.best_offer_id, r.best_cost_dirhams) for r in R.best_offers(frame, offers, policy).collect()}
+    catalogue = [r.asDict() for r in R.delivery_costs(offers, policy).collect()]
+    by_id = {r["offer_id"]: r for r in catalogue}
+    for who, p, value, held, data, voice in people:
+        best = None
+        h = by_id.get(held)
+        exposed = h is not None and h["validity_hours"] >= 720 and h["price_lyd"] > 40.0
+        for r in catalogue:
+            gives = (data and (r["data_unlimited"] == 1 or r["data_gb"] is not None)) or (voice and (r["voice_unlimited"] == 1 or r["voice_minutes"] is not None))
+            if p is None or value is None or not gives or r["network"] or (r["members"] or 0) > 1 or r["cost_dirhams"] > int(value * 150 + 1e-9):
+                continue
+            if r["is_unlimited"] and r["price_lyd"] < 40.0 and exposed:
+                continue
+            rank = (p * 0.05 * value - r["cost_dirhams"] / 1000, r["offer_id"] == "pref", [-ord(c) for c in r["offer_id"]])
+            best = max(best, (rank, r), key=lambda x: x[0]) if best else (rank, r)
+        assert got[who] == ((best[1]["offer_id"], best[1]["cost_dirhams"]) if best else ("NO_OFFER", 0))
