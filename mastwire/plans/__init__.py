@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("network", "churn", "decisions", "places", "surroundings", "learning")
+MODULES = ("network", "churn", "decisions", "places", "surroundings", "expansion", "learning")
 
 
 def load_queries() -> None:
