@@ -27,7 +27,8 @@ def candidate_id(lat: Column, lon: Column, source: Column) -> Column:
     return F.concat(F.lit("candidate-"), F.substring(F.sha2(text, 256), 1, 12))
 
 
-def row_hash(*columns: Column) -> Column:
-    """One hash per row; a missing value differs from an empty text."""
-    parts = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in columns]
-    return F.sha2(F.concat_ws("\u0001", *parts), 256)
+def row_hash(*columns: Column, key: str = "") -> Column:
+    """One hash per row under a key. Each value stands after its length, and a missing one has none,
+    so no value can be read as another, as two, or as missing."""
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat(F.lit(f"{key}|"), *parts), 256)

@@ -70,20 +70,16 @@ def withheld(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     return gone.groupBy("recommended_offer_id").agg(F.count("*").alias("withheld"))
 
 
-def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One order-independent digest of a snapshot: counts and sums of row-hash words.
+def fingerprint(rows: DataFrame, columns: list[str], key: str = "snapshot") -> DataFrame:
+    """One order-independent digest of a snapshot: the row count and sums of all eight words of the row hashes.
 
-    Sums of four hash words and the row count are combined, so nothing is gathered in one
-    place; equal snapshots agree in any row order and partitioning.
+    Nothing is gathered in one place; equal snapshots agree in any row order and partitioning.
+    The row hashes depend on the key, so rows cannot be made to measure without it.
     """
-    hashed = rows.select(row_hash(*[F.col(c) for c in columns]).alias("h"))
-
-    def word(i: int) -> Column:
-        return F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
-
-    sums = [F.sum(word(i)).alias(f"w{i}") for i in range(4)]
-    total = hashed.agg(F.count("*").alias("n"), *sums)
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n", "w0", "w1", "w2", "w3")]
+    hashed = rows.select(row_hash(*[F.col(c) for c in columns], key=key).alias("h"))
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    total = hashed.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).alias(f"w{i}") for i, w in enumerate(words)])
+    parts = [F.col(c).cast("string") for c in ("n", *(f"w{i}" for i in range(8)))]
     return total.select("n", F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
 
 

@@ -256,7 +256,15 @@ def campaign_withheld_offers(spark, sf):
     return G.withheld(rows, offers(spark, sf).where("family_en <> 'Weekly offers'"))
 
 
-@query("campaign_fingerprint")
+HASH_WORDS = ", ".join(f"CAST(coalesce(sum(CAST(concat('0x', substr(h, {1 + 8 * i}, 8)) AS BIGINT)), 0) AS VARCHAR)" for i in range(8))
+
+
+@query(
+    "campaign_fingerprint",
+    f"""WITH {PROPOSED_SQL}, r AS (SELECT sha256(concat('snapshot|', length(subscriber_id), ':', subscriber_id, length(status), ':', status,
+          coalesce(concat(length(recommended_offer_id), ':', recommended_offer_id), '-'))) AS h FROM pr)
+       SELECT count(*) AS n, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {HASH_WORDS})) AS fingerprint FROM r""",
+)
 def campaign_fingerprint(spark, sf):
     return G.fingerprint(proposals(spark, sf), ["subscriber_id", "status", "recommended_offer_id"])
 

@@ -62,6 +62,11 @@ def test_fingerprint_ignores_order_and_notices_changes(spark):
     first = G.fingerprint(df, ["k", "v"]).first()["fingerprint"]
     assert first == G.fingerprint(df.orderBy(F.col("k").desc()), ["k", "v"]).first()["fingerprint"]
     assert first != G.fingerprint(df.fillna(0), ["k", "v"]).first()["fingerprint"]
+    swapped = spark.createDataFrame([("a", 2), ("b", 1), ("c", None)], "k string, v int")
+    assert first != G.fingerprint(swapped, ["k", "v"]).first()["fingerprint"]
+    texts = spark.createDataFrame([("a", "-"), ("a", None), ("a1", ""), ("", "1a")], "k string, v string")
+    assert len({G.fingerprint(texts.where(F.col("k") == k), ["v"]).first()["fingerprint"] for k in ("a", "a1", "")}) == 3
+    assert G.fingerprint(texts, ["k"], "one").first()["fingerprint"] != G.fingerprint(texts, ["k"], "two").first()["fingerprint"]
 
 
 def test_reviews_are_checked(spark):
