@@ -316,9 +316,15 @@ def identity_matches(spark, sf):
     return I.identity_matches(rows, assets, ["mcc", "mnc", "lac", "cell_id"])
 
 
-@query("connected_site_groups")
+@query(
+    "connected_site_groups",
+    f"""WITH RECURSIVE e AS (SELECT a.candidate_id AS f, b.candidate_id AS t FROM {{v_candidates}} a JOIN {{v_candidates}} b
+          ON a.candidate_id <> b.candidate_id AND abs(a.lat - b.lat) < 0.01 WHERE {HAV.format(a="a", b="b")} <= 400),
+        reach AS (SELECT candidate_id AS f, candidate_id AS t FROM {{v_candidates}} UNION SELECT reach.f, e.t FROM reach JOIN e ON reach.t = e.f)
+       SELECT f AS candidate_id, min(t) AS component FROM reach GROUP BY f""",
+)
 def connected_site_groups(spark, sf):
-    return I.connected_sites(candidates(spark, sf).select("candidate_id", "lon", "lat"), "candidate_id", 400.0)
+    return I.connected_sites(candidates(spark, sf).select("candidate_id", "lon", "lat"), "candidate_id", 400.0).select("candidate_id", "component")
 
 
 @query(
