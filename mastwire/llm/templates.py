@@ -8,13 +8,12 @@ of the document and back, wherever it occurs.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mastwire.llm.filters import holds, marked
 from mastwire.llm.repeats import keyed
 from mastwire.llm.store import saved
 from mastwire.llm.text import Texts, Words, shingles, texts, words
@@ -27,9 +26,6 @@ SHARE = 0.5
 ENOUGH = 10
 #: Windows in more items than this are phrases of the benchmark, not of an item.
 COMMON = 20
-#: Bits of the filter that documents' windows pass before the join; its size never grows.
-FILTER_BITS = 26
-RANGES = 64
 
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Words that are units when a number stands before them.
@@ -91,8 +87,7 @@ def windows(column: pa.Array, passed: np.ndarray | None = None):
         plain = np.concatenate(([0], np.cumsum(kinds == 0)))
         live = plain[stop] - plain[at] >= np.minimum(MIN_PLAIN, stop - at)
         if passed is not None:
-            slot = hashes >> np.uint64(64 - FILTER_BITS)
-            live &= passed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+            live &= holds(passed, hashes)
         live = np.flatnonzero(live)
         inside = at[live][:, None] + np.arange(WINDOW)[None, :]
         taken = inside < stop[live][:, None]
@@ -117,34 +112,6 @@ def _windowed(rows: DataFrame, key: str, passed: np.ndarray | None = None) -> Da
     return rows.select(key, "text").mapInArrow(run, f"{key} long, place int, hash long, values array<long>")
 
 
-def _filter(items: DataFrame) -> np.ndarray:
-    """Which hash slots the items' windows have, one bit each, put together range by range."""
-    size = (1 << FILTER_BITS) // 8
-    width = size // RANGES
-
-    def mark(batches):
-        bits = np.zeros(size, dtype=np.uint8)
-        for batch in filter(len, batches):
-            slot = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)))
-        parts = [zlib.compress(bits[r * width : (r + 1) * width].tobytes(), 1) for r in range(RANGES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], names=["r", "part"])
-
-    def merge(batches):
-        out: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for r, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = np.frombuffer(zlib.decompress(part), np.uint8)
-                out[r] = out[r] | raw if r in out else raw
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(
-            [zlib.compress(x.tobytes(), 1) for x in out.values()], pa.binary())], names=["r", "part"])
-
-    bits = np.zeros(size, dtype=np.uint8)
-    for row in items.select("hash").mapInArrow(mark, "r int, part binary").repartition("r").mapInArrow(merge, "r int, part binary").collect():
-        bits[row.r * width : (row.r + 1) * width] = np.frombuffer(zlib.decompress(row.part), np.uint8)
-    return bits
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_key, doc_id, item_id, windows, item_windows, share, exact): the items that documents hold.
 
@@ -159,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = saved(known.join(common, "hash", "left_anti"))
     totals = known.groupBy("item_id").agg(F.count_distinct("item_place").alias("item_windows"))
     rows = keyed(docs)
-    seen = _windowed(rows, "doc_key", _filter(known))
+    seen = _windowed(rows, "doc_key", marked(known.select("hash")))
     met = seen.join(known, "hash").withColumn("shift", F.col("place") - F.col("item_place"))
     pair = F.arrays_zip(F.col("item_values").alias("item"), F.col("values").alias("doc"))
     runs = met.groupBy("doc_key", "item_id", "shift").agg(
