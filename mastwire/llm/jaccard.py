@@ -7,7 +7,8 @@ are compared: the overlap is bounded from their sizes and from bit rows of their
 pair below the bound is discarded. What is left is counted n-gram by n-gram on the texts.
 
 Only components are asked for, so a block first gives a spanning forest of its likely pairs.
-A second round takes every remaining pair that lies in different components: no link is lost,
+A second round takes the families of sets that likely pairs of different components still join,
+multiplies them exactly, two blocks at a time, and gives a forest of the links: no link is lost,
 and a large group of near copies never becomes all its pairs.
 """
 
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mastwire.llm.filters import marked, passing
 from mastwire.llm.links import components
 from mastwire.llm.store import saved
 from mastwire.llm.text import shingles, texts, words
@@ -30,6 +32,7 @@ SKETCH_BITS = 20
 RANGES = 64
 #: Documents in one side of a compared block.
 BLOCK = 1024
+EXACT_BLOCK = 512
 #: Machine words in one step of a comparison.
 STEP_WORDS = 1 << 20
 
@@ -193,70 +196,147 @@ def forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray, rate: np.ndarray) -
         labels = root[labels]
 
 
-def _candidates(placed: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """(a, b) with a below b: likely pairs of different components in the compared blocks."""
+def _with_pairs(placed: DataFrame) -> DataFrame:
+    """A row for every two blocks that its own block is one of."""
+    one = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
+    many = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+        F.least(k, F.col("block")).alias("p"), F.greatest(k, F.col("block")).alias("q")))
+    return placed.withColumn("pair", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)))
+
+
+def _grouped(placed: DataFrame) -> DataFrame:
+    """(p, q, rows): the sets of two blocks of a column, for every two blocks."""
+    grouped = _with_pairs(placed).groupBy("key", "pair").agg(F.collect_list(F.struct("set_id", "root", "n", "block", "bits")).alias("rows"))
+    return grouped.select("pair.p", "pair.q", "rows")
+
+
+def _candidates(grouped: DataFrame, percent: int, of_sets: bool) -> DataFrame:
+    """(a, b) with a below b: a spanning forest of each group's likely pairs between components.
+
+    The forest spans the components, or (``of_sets``) the sets that have such a pair.
+    """
 
     def run(batches):
         for batch in filter(len, batches):
             lists = batch.column(2)
-            rows = lists.values if hasattr(lists, "values") else lists.flatten()
+            rows = lists.values
             ids, label, n, side = (rows.field(k).to_numpy() for k in ("set_id", "root", "n", "block"))
-            bits = rows.field("bits")
-            ends = lists.offsets.to_numpy()
+            bits, ends = rows.field("bits"), lists.offsets.to_numpy()
             out_a, out_b = [], []
-            for g in range(len(batch)):
+            for g, (p, q) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 s = slice(ends[g], ends[g + 1])
-                own = ids[s]
-                if len(own) < 2 or (label[s] == label[s.start]).all():
+                own = label[s]
+                if len(own) < 2 or (own == own[0]).all():
                     continue
-                two = batch.column(0)[g].as_py() != batch.column(1)[g].as_py()
-                i, j, rate = likely_pairs(n[s], bits[s.start : s.stop].to_pylist(), side[s] if two else None, percent)
-                own_label = label[s]
-                apart = own_label[i] != own_label[j]
+                i, j, rate = likely_pairs(n[s], bits[s.start : s.stop].to_pylist(), side[s] if p != q else None, percent)
+                apart = own[i] != own[j]
                 i, j, rate = i[apart], j[apart], rate[apart]
-                if spanning and len(i):
-                    kept = forest(own_label, i, j, rate)
-                    i, j = i[kept], j[kept]
-                out_a.append(np.minimum(own[i], own[j]))
-                out_b.append(np.maximum(own[i], own[j]))
+                if len(i):
+                    kept = forest(np.arange(len(own)) if of_sets else own, i, j, rate)
+                    a, b = ids[s][i[kept]], ids[s][j[kept]]
+                    out_a.append(np.minimum(a, b))
+                    out_b.append(np.maximum(a, b))
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    one = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
-    many = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
-        F.least(k, F.col("block")).alias("p"), F.greatest(k, F.col("block")).alias("q")))
-    met = placed.withColumn("pair", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)))
-    grouped = met.groupBy("key", "pair").agg(F.collect_list(F.struct("set_id", "root", "n", "block", "bits")).alias("rows"))
-    return grouped.select(F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "rows").mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    out = []
+    for part in texts(column):
+        hashes, bounds = shingles(words(part), size)
+        out += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
+def _texts_of(sets: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text) of one row for each set; rows that cannot be one are left out before the shuffle."""
+    own = saved(info.join(sets, "set_id", "left_semi").select("set_id", "doc_id", "text_id"))
+    source = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_text"), "text")
+    source = passing(source, "own_text", marked(own.select("text_id")))
+    return own.join(source, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_id") == F.col("own_text"))).select("set_id", "text")
 
 
 def counted(pairs: DataFrame, info: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that truly reach the bound, counted on the texts of one row each."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
-
-    def with_text(df: DataFrame, end: str) -> DataFrame:
-        own = info.select(F.col("set_id").alias(end), F.col("doc_id").alias(f"{end}_doc"), F.col("text_id").alias(f"{end}_text_id"))
-        row = source.select(F.col("doc_id").alias(f"{end}_own"), F.col("text_id").alias(f"{end}_own_text"), F.col("text").alias(f"{end}_text"))
-        joined = df.join(own, end).join(row, F.col(f"{end}_doc").eqNullSafe(F.col(f"{end}_own"))
-                                        & (F.col(f"{end}_text_id") == F.col(f"{end}_own_text")))
-        return joined.drop(f"{end}_doc", f"{end}_text_id", f"{end}_own", f"{end}_own_text")
-
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for part in texts(column):
-            hashes, bounds = shingles(words(part), size)
-            out += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return out
+    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    held = saved(_texts_of(ends, info, docs))
+    both = pairs.join(held.select(F.col("set_id").alias("a"), F.col("text").alias("a_text")), "a").join(
+        held.select(F.col("set_id").alias("b"), F.col("text").alias("b_text")), "b")
 
     def run(batches):
         for batch in filter(len, batches):
             keep = []
-            for x, y in zip(sets(batch.column("a_text")), sets(batch.column("b_text")), strict=True):
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for x, y in zip(_sets(batch.column("a_text"), size), _sets(batch.column("b_text"), size), strict=True):
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_text(with_text(pairs, "a"), "b").mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Overlap counts of all pairs: the incidence matrix times its transpose, some columns at a time."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    # An n-gram that one set has alone adds to no overlap but its own.
+    number = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        a, b = np.searchsorted(column, (at, at + width))
+        block = np.zeros((len(sets), width), dtype=np.float32)
+        block[row[a:b], column[a:b] - at] = 1
+        out += block @ block.T
+    return out
+
+
+def _exact_links(families: DataFrame, info: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components inside each family, a spanning forest of every two blocks.
+
+    ``families`` has set_id, family and root. A family is cut to blocks, and every two blocks are
+    one group: their sets go to one task, and only a forest of their links leaves it.
+    """
+
+    def pack(batches):
+        for batch in filter(len, batches):
+            packed = [x.tobytes() for x in _sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["set_id", "packed"])
+
+    held = _texts_of(families.select("set_id").distinct(), info, docs).mapInArrow(pack, "set_id long, packed binary")
+    held = saved(held.groupBy("set_id").agg(F.first("packed").alias("packed")))
+    sizes = saved(families.groupBy("family").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias("blocks")))
+
+    def run(batches):
+        for batch in filter(len, batches):
+            rows = batch.column(2).values
+            ids, label, side = (rows.field(k).to_numpy() for k in ("set_id", "root", "block"))
+            packed, ends = rows.field("packed"), batch.column(2).offsets.to_numpy()
+            for g, (p, q) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                s = slice(ends[g], ends[g + 1])
+                if len(ids[s]) < 2:
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in packed[s.start : s.stop].to_pylist()]
+                n = np.array([len(x) for x in sets], dtype=np.float64)
+                common = overlaps(sets).astype(np.float64)
+                near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+                near &= label[s][:, None] != label[s][None, :]
+                if p != q:
+                    near &= side[s][:, None] != side[s][None, :]
+                i, j = np.nonzero(np.triu(near, 1))
+                if len(i):
+                    kept = forest(label[s], i, j, 1 - common[i, j] / (n[i] + n[j]))
+                    a, b = ids[s][i[kept]], ids[s][j[kept]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).join(held, "set_id")
+    met = _with_pairs(placed).groupBy("family", "pair").agg(F.collect_list(F.struct("set_id", "root", "block", "packed")).alias("rows"))
+    return met.select("pair.p", "pair.q", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
 def _places(column: DataFrame, info: DataFrame) -> DataFrame:
@@ -274,14 +354,17 @@ def linked_sets(docs: DataFrame, profile: DataFrame, size: int, percent: int) ->
         F.min(F.struct("doc_id", "text_id")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         .select("set_id", "row.doc_id", "row.text_id", "n", "bits"))
     placed = saved(_places(column, info.select("set_id", "n", "bits")))
-    first = saved(_candidates(placed.withColumn("root", F.col("set_id")), percent, spanning=True))
+    first = saved(_candidates(_grouped(placed.withColumn("root", F.col("set_id"))), percent, of_sets=False))
     links = saved(counted(first, info, docs, size, percent))
-    roots = components(links, "a", "b")
-    labelled = placed.join(saved(roots), placed["set_id"] == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
-    rest = saved(_candidates(labelled, percent, spanning=False).join(first, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
+    roots = saved(components(links, "a", "b"))
+    labelled = placed.join(roots, placed["set_id"] == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
+    left = saved(_candidates(_grouped(labelled), percent, of_sets=True))
+    if left.isEmpty():
         return roots
-    return components(links.unionByName(counted(rest, info, docs, size, percent)), "a", "b")
+    families = components(left, "a", "b").select(F.col("node").alias("set_id"), F.col("root").alias("family"))
+    families = saved(families.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "family", F.coalesce("root", "set_id").alias("root")))
+    rest = saved(_exact_links(families, info, docs, size, percent))
+    return roots if rest.isEmpty() else components(links.unionByName(rest), "a", "b")
 
 
 def clusters(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -55,6 +55,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed, size, percent, block", [(1, 4, 85, 1024), (2, 5, 80, 3), (3, 2, 60, 2)])
 def test_clusters_equal_all_pairs(spark, monkeypatch, seed, size, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "EXACT_BLOCK", block)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, key int")
     got = sorted([tuple(r) for r in jaccard.clusters(docs, size, percent).collect()], key=str)
@@ -100,3 +101,18 @@ def test_components_of_chains_and_stars(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_overlap_counts_and_likely_pairs_lose_nothing():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 120))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(40)]
+    sets += [x[:-1] for x in sets[:20] if len(x) > 1]
+    got = jaccard.overlaps(sets, width=16)
+    pairs = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in jaccard.likely_pairs(
+        np.array([len(x) for x in sets]), [jaccard._bit_row(x) for x in sets], None, 60)[:2]))}
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            assert got[i, j] == common
+            if 100 * common >= 60 * (len(sets[i]) + len(sets[j]) - common):
+                assert (j, i) in pairs
