@@ -123,13 +123,14 @@ def columns(profile: DataFrame) -> DataFrame:
     """(key, set_id): the sets of every kept column that has two or more, each list of sets once."""
     entries = profile.where("n > 0").select("set_id", F.explode("keys").alias("key"))
     sign = F.xxhash64("set_id")
+    # The join back takes the same way at every size, so what is shuffled grows with the corpus.
     # Two sums of half hashes, the count and both ends stand for the list of a column's sets.
     shared = entries.groupBy("key").agg(
         F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("c"),
         F.sum(sign.bitwiseAND(0xFFFFFFFF)).alias("x"), F.sum(F.shiftrightunsigned(sign, 32)).alias("y"),
     ).where(F.col("lo") != F.col("hi"))
     lists = saved(shared.groupBy("lo", "hi", "c", "x", "y").agg(F.min("key").alias("key")).select("key"))
-    return saved(entries.join(lists, "key").distinct())
+    return saved(entries.join(lists.hint("merge"), "key").distinct())
 
 
 def _matrix(rows: list[bytes], words_: int) -> np.ndarray:
@@ -255,14 +256,15 @@ def _texts_of(sets: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     own = saved(info.join(sets, "set_id", "left_semi").select("set_id", "doc_id", "text_id"))
     source = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_text"), "text")
     source = passing(source, "own_text", marked(own.select("text_id")))
-    return own.join(source, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_id") == F.col("own_text"))).select("set_id", "text")
+    return own.hint("merge").join(source, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_id") == F.col("own_text"))).select("set_id", "text")
 
 
 def counted(pairs: DataFrame, info: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that truly reach the bound, counted on the texts of one row each."""
     ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     held = saved(_texts_of(ends, info, docs))
-    both = pairs.join(held.select(F.col("set_id").alias("a"), F.col("text").alias("a_text")), "a").join(
+    # Joins that grow with the corpus take the same way at every size.
+    both = pairs.hint("merge").join(held.select(F.col("set_id").alias("a"), F.col("text").alias("a_text")), "a").hint("merge").join(
         held.select(F.col("set_id").alias("b"), F.col("text").alias("b_text")), "b")
 
     def run(batches):
