@@ -56,3 +56,14 @@ def test_nothing(spark, bench):
     assert templates.leaks(docs.limit(0), bench).count() == 0
     assert templates.leaks(docs, bench.limit(0)).count() == 0
     assert templates.without_leaks(docs, bench.limit(0)).count() == 1
+
+
+def test_families_are_reported_whole(spark):
+    item = "A shop sells {} pens and {} books on a quiet day, so how many things does the shop sell in all on {} days of that kind?"
+    family = [(i, item.format(i + 20, i + 60, i + 100)) for i in range(30)] + [(100 + i, ITEM) for i in range(25)]
+    docs = spark.createDataFrame([(0, FILL + family[3][1] + FILL), (1, FILL + item.format(7, 8, 9)), (2, FILL), (3, FILL + ITEM)], "doc_id long, text string")
+    got = found(docs, spark.createDataFrame(family, "item_id long, text string"))
+    assert {i for d, i in got if d == 0} == set(range(30)) and {i for d, i in got if d == 1} == set(range(30))
+    assert [i for i in range(30) if got[0, i].exact] == [3] and not any(got[1, i].exact for i in range(30))
+    assert {i for d, i in got if d == 3} == set(range(100, 125)) and all(got[3, i].exact for i in range(100, 125))
+    assert {d for d, _ in got} == {0, 1, 3}
