@@ -67,3 +67,15 @@ def test_families_are_reported_whole(spark):
     assert [i for i in range(30) if got[0, i].exact] == [3] and not any(got[1, i].exact for i in range(30))
     assert {i for d, i in got if d == 3} == set(range(100, 125)) and all(got[3, i].exact for i in range(100, 125))
     assert {d for d, _ in got} == {0, 1, 3}
+
+
+def test_exact_copies_in_any_case_and_short_items(spark, bench):
+    german = "Der alte Müller trägt am Montag die großen Säcke aus der Mühle zum Markt und verkauft dort das Mehl an Bäcker Weiß."
+    items = bench.select("item_id", "text").unionByName(spark.createDataFrame(
+        [(10, "What is 12 times 7"), (11, "Anna 3 Bob 4 Carl 5 Dora 6 Emil 7 Fritz 8 Gerd 9"), (12, german)], "item_id long, text string"))
+    texts = {0: ITEM.lower(), 1: ITEM.upper(), 2: FILL + "Now: what is 12 times 7? " + FILL, 3: FILL + "Anna 3 Bob 4 Carl 5 Dora 6 Emil 7 Fritz 8 Gerd 9",
+             4: german.upper(), 5: german.lower(), 6: FILL + "what is 12 times 8? " + FILL, 7: FILL + "a short item here " + FILL,
+             8: "(" + ITEM.replace(" ", "\n ").lower() + ")"}
+    got = found(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), items)
+    assert set(got) == {(0, 1), (1, 1), (2, 10), (3, 11), (4, 12), (5, 12), (7, 4), (8, 1)}
+    assert all(r.share == 1 and r.exact for r in got.values())
