@@ -9,7 +9,7 @@ the item to one value of the document.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +204,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def agreeing(run: list[tuple], slots: list[int], own: list[int], exact: list[int]) -> tuple[list[int], bool]:
     """Places of one run (place, hash, values) that fit the item, and whether all its values are the item's own.
 
-    A run fits when each value of the item meets one value of the document and back.
+    In a run a word of the item meets one word of the document. Each value is mapped to the word
+    that it meets most often, to itself among equals; windows that hold the item's own values fit,
+    and so do those that follow the map. Two values may meet one word. Where more windows break
+    the map than follow it, the run is other text in the same form.
     """
     item = dict(zip(slots, own, strict=True))
     typed, plain, met = {}, set(), {}
@@ -216,10 +219,14 @@ def agreeing(run: list[tuple], slots: list[int], own: list[int], exact: list[int
         elif exact[place] == hash_:
             plain.add(place)
             met.update((w, item[w]) for w in inside)
-    pairs = {(item[w], value) for w, value in met.items()}
-    if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
-        return [], False
-    return sorted(plain | typed.keys()), all(a == b for a, b in pairs)
+    mine = plain | {p for p, inside in typed.items() if all(met[w] == item[w] for w in inside)}
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for w, value in met.items():
+        votes[item[w]][value] += 1
+    to = {v: max(c, key=lambda x: (c[x], x == v, x)) for v, c in votes.items()}
+    kept = mine | {p for p, inside in typed.items() if all(met[w] == to[item[w]] for w in inside)}
+    broken = len(typed.keys() - kept)
+    return (sorted(kept), not broken and kept == mine) if len(kept) > broken else ([], False)
 
 
 def _fitting(runs: DataFrame) -> DataFrame:

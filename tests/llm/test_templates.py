@@ -79,3 +79,11 @@ def test_exact_copies_in_any_case_and_short_items(spark, bench):
     got = found(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), items)
     assert set(got) == {(0, 1), (1, 1), (2, 10), (3, 11), (4, 12), (5, 12), (7, 4), (8, 1)}
     assert all(r.share == 1 and r.exact for r in got.values())
+
+
+def test_one_clash_does_not_discard_the_copy(spark, bench):
+    texts = {0: ITEM.replace("12", "4").replace(" 5 ", " 4 "), 1: ITEM.replace("does Alice", "does Greta"), 2: OTHER.replace("48", "7"),
+             3: OTHER.replace("does Mary", "does Jane")}
+    got = found(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench)
+    assert set(got) == {(d, 1) for d in texts} and not any(r.exact for r in got.values())
+    assert got[1, 1].windows == 31  # all but the six windows of the edited name
