@@ -1,9 +1,10 @@
 """Nearest vectors by inner product through cross-polytope hashing.
 
-A vector is scaled into the unit ball and lifted onto the sphere, so that the largest inner
-product is the smallest angle. Each table turns the sphere by three signed Hadamard transforms
-and files a vector under its nearest signed axis; a query looks under its several nearest axes.
-What it meets there is scored exactly, block by block, and only a block's best leave the task.
+Directions are hashed, so one long vector does not crowd the others. Each table turns the sphere
+by three signed Hadamard transforms and files a vector under its nearest signed axis; a query
+looks under its several nearest axes. Vectors much longer than most win at wide angles, which
+hashing misses: these are at most a tenth and every query meets all of them. What a query meets
+is scored exactly, block by block, and only a block's best leave the task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ PROBES = 24
 #: Vectors of one bucket that one task compares with as many queries.
 BLOCK = 4096
 TIE = 1e-9
+#: Vectors longer than this quantile of the norms by more than the margin are compared with every query.
+LONG = 0.9
+MARGIN = 1.05
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -34,7 +38,7 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def width(dimension: int) -> int:
-    """Axes after lifting: the power of two that holds one dimension more."""
+    """Axes of a table: the power of two that holds one dimension more."""
     return 1 << int(dimension).bit_length()
 
 
@@ -46,14 +50,9 @@ def turned(vectors: np.ndarray, table: int) -> np.ndarray:
     return vectors
 
 
-def lifted(vectors: np.ndarray, longest: float, query: bool) -> np.ndarray:
+def directions(vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(vectors), width(vectors.shape[1])))
-    d = vectors.shape[1]
-    if query:
-        out[:, :d] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    else:
-        out[:, :d] = vectors / longest
-        out[:, d] = np.sqrt(np.maximum(0.0, 1 - (out[:, :d] ** 2).sum(axis=1)))
+    out[:, : vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     return out
 
 
@@ -92,26 +91,33 @@ def _usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return packed.withColumn("kind", F.xxhash64("vec"))
 
 
-def _filed(kinds: DataFrame, longest: float, tables: int, probes: int, with_vectors: bool) -> DataFrame:
-    """Rows (table, axis, asks, kind, least, vec): every vector once a table, a query under each of its axes."""
+def _filed(kinds: DataFrame, tables: int, probes: int, with_vectors: bool) -> DataFrame:
+    """Rows (table, axis, asks, kind, least, vec): every vector once a table, a query under each of its axes.
+
+    The long vectors and every query stand once in one more table, under one axis.
+    """
 
     def run(batches):
         for batch in filter(len, batches):
-            vectors = _matrix(batch.column("vec"))
-            asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False))
-            held, asked = lifted(vectors, longest, False), lifted(vectors[asks], longest, True)
-            for t in range(tables):
-                own = axes(turned(held, t), 1)[:, 0]
-                looked = axes(turned(asked, t), probes)
-                row = np.concatenate((np.arange(len(vectors)), np.repeat(asks, looked.shape[1])))
+            all_ = directions(_matrix(batch.column("vec")))
+            asks, far = (np.flatnonzero(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("asks", "long"))
+            near = np.setdiff1d(np.arange(len(all_)), far)
+            for t in range(tables + 1):
+                if t < tables:
+                    turned_ = turned(all_, t)
+                    held, own = near, axes(turned_[near], 1)[:, 0]
+                    looked = axes(turned_[asks], probes)
+                else:
+                    held, own, looked = far, np.zeros(len(far), np.int64), np.zeros((len(asks), 1), np.int64)
+                row = np.concatenate((held, np.repeat(asks, looked.shape[1])))
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(row), t, np.int32)), pa.array(np.concatenate((own, looked.ravel())).astype(np.int32)),
-                     pa.array(np.arange(len(row)) >= len(vectors)), taken.column("kind"), taken.column("least"),
+                     pa.array(np.arange(len(row)) >= len(held)), taken.column("kind"), taken.column("least"),
                      taken.column("vec") if with_vectors else pa.nulls(len(row), pa.binary())],
                     names=["table", "axis", "asks", "kind", "least", "vec"])
 
-    return kinds.select("kind", "least", "asks", "vec").mapInArrow(
+    return kinds.select("kind", "least", "asks", "vec", "long").mapInArrow(
         run, "table int, axis int, asks boolean, kind long, least long, vec binary")
 
 
@@ -188,15 +194,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABL
     usable = saved(_usable(vectors, id_column, column))
     kinds = saved(usable.groupBy("kind").agg(
         F.min("vec_id").alias("least"), F.max(F.col("vec_id") % every == 0).alias("asks"), F.first("vec").alias("vec"), F.first("norm").alias("norm")))
-    longest = kinds.agg(F.max("norm")).first()[0] or 1.0
-    counts = _filed(kinds, longest, tables, probes, False).groupBy("table", "axis").agg(
+    usual = kinds.agg(F.percentile_approx("norm", LONG, 1000)).first()[0] or 1.0
+    filed = kinds.withColumn("long", F.col("norm") > usual * MARGIN)
+    counts = _filed(filed, tables, probes, False).groupBy("table", "axis").agg(
         F.sum((~F.col("asks")).cast("int")).alias("n"), F.sum(F.col("asks").cast("int")).alias("q")).where("n > 0 and q > 0").toPandas()
     # One row for each axis of each table: bounded by the tables and the dimension.
     up = lambda n: (-(-n // BLOCK)).astype("int32")
     sizes = spark.createDataFrame(
         pd.DataFrame({"table": counts["table"].astype("int32"), "axis": counts["axis"].astype("int32"),
                       "blocks": up(counts["n"]), "query_blocks": up(counts["q"])}), "table int, axis int, blocks int, query_blocks int")
-    scored = _scored(_blocks(_filed(kinds, longest, tables, probes, True), sizes), k + 1)
+    scored = _scored(_blocks(_filed(filed, tables, probes, True), sizes), k + 1)
     members = saved(_first_of_kind(usable, k + 1))
     lists = saved(_lists(scored, members, k + 1))
     total = usable.select("vec_id").distinct().count()

@@ -67,3 +67,15 @@ def test_few_and_none(spark):
     assert [tuple(r)[:3] for r in neighbours.nearest(few).orderBy("query_id", "rank").collect()] == [
         (0, 1, 20), (0, 2, 1), (20, 1, 0), (20, 2, 1)]
     assert neighbours.nearest(few.where("vec_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("norms", ["log-normal", "one long"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(0.7 * rng.normal(size=(6000, 1))) if norms == "log-normal" else np.where(np.arange(6000) == 7, 5.0, 1.0)[:, None]
+    want = brute(np.arange(6000), x, 20, 20)
+    got = neighbours.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).toPandas()
+    hit = sum(len(set(part.vec_id) & {v for v, _ in want[q]}) for q, part in got.groupby("query_id"))
+    assert hit / (20 * len(want)) >= 0.93
