@@ -20,6 +20,7 @@ from mastwire.llm.store import saved
 
 #: ``${id}`` in an argument stands for the result of the call with that identifier.
 REFERENCE = re.compile(r"\$\{([^{}]+)\}")
+UNREADABLE = (ValueError, TypeError, KeyError, AttributeError, RecursionError, OverflowError)
 TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -92,23 +93,36 @@ def waiting_order(ids: list[str], needs: list[set[str]]) -> list[int | None]:
     return place
 
 
+def _call(call: Any, schemas: dict[str, dict]) -> dict:
+    """One call; of one that cannot be read, its fault and what can be read of it, its arguments as text."""
+    try:
+        if call["id"] is None or call["name"] is None:
+            raise KeyError("id or name")
+        arguments = call["arguments"]
+        arguments = json.loads(arguments) if isinstance(arguments, str) else arguments
+        text = canonical(arguments)
+        schema = schemas.get(call["name"])
+        wrong = ["unknown tool"] if schema is None else faults(arguments, schema)
+        return {"id": str(call["id"]), "name": str(call["name"]), "arguments": arguments, "faults": wrong,
+                "needs": sorted(set(REFERENCE.findall(text)))}
+    except UNREADABLE as error:
+        own = call if isinstance(call, dict) else {"arguments": call}
+        read = lambda x: x if x is None or isinstance(x, str) else json.dumps(x)
+        return {"id": read(own.get("id")), "name": read(own.get("name")), "arguments": read(own.get("arguments")),
+                "faults": [f"malformed: {type(error).__name__}"], "needs": []}
+
+
 def _calls(raw: str | None, schemas: dict[str, dict]) -> tuple[list[dict], str | None]:
     """The calls of one message in waiting order, and what is wrong with the list as a whole."""
     if raw is None:
         return [], None
     try:
         calls = json.loads(raw)
-        parsed = []
-        for call in calls:
-            arguments = call["arguments"]
-            arguments = json.loads(arguments) if isinstance(arguments, str) else arguments
-            text = canonical(arguments)
-            schema = schemas.get(call["name"])
-            wrong = ["unknown tool"] if schema is None else faults(arguments, schema)
-            parsed.append({"id": str(call["id"]), "name": str(call["name"]), "arguments": arguments, "text": text, "faults": wrong,
-                           "needs": sorted(set(REFERENCE.findall(text)))})
-    except (ValueError, TypeError, KeyError, AttributeError, RecursionError) as error:
+        if not isinstance(calls, list):
+            raise TypeError("not a list")
+    except UNREADABLE as error:
         return [], f"malformed: {type(error).__name__}"
+    parsed = [_call(call, schemas) for call in calls]
     places = waiting_order([c["id"] for c in parsed], [set(c["needs"]) for c in parsed])
     for call, place in zip(parsed, places, strict=True):
         call["place"] = place
@@ -157,7 +171,7 @@ def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     n_calls, n_valid and n_answered count a message's calls; ``status`` of a result is linked,
     repeated (a later result of the same call) or orphan; ``faults`` lists what is wrong. A null
     conv_id or identifier links with nothing; null text is empty content; a list that cannot be
-    read is a fault and holds no calls. Of several calls with one identifier the first by turn is
+    read is a fault and holds no calls; a call that cannot be read is a call with a fault. Of several calls with one identifier the first by turn is
     the owner. Repeated rows and columns of other names change nothing.
     """
     read = saved(_read(messages, schemas))
@@ -189,7 +203,7 @@ def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                  F.transform(F.coalesce("unmet", F.array().cast("array<string>")), lambda x: F.concat(F.lit("waits for unknown "), x))).alias("faults"))
     counts = saved(judged.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_calls"), F.sum((F.size("faults") == 0).cast("long")).alias("n_valid"), F.sum(F.col("answered").cast("long")).alias("n_answered"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.size("faults") > 0, F.concat_ws("; ", F.concat(F.col("call_id"), F.lit(": "), F.array_join("faults", ", ")))))), " | ").alias("faults")))
+        F.array_join(F.array_sort(F.collect_set(F.when(F.size("faults") > 0, F.concat_ws("; ", F.concat(F.coalesce("call_id", F.lit("?")), F.lit(": "), F.array_join("faults", ", ")))))), " | ").alias("faults")))
     own = read.where("role is null or role <> 'tool'")
     said = own.join(counts, own["conv_id"].eqNullSafe(counts["conv_id"]) & own["turn"].eqNullSafe(counts["turn"]) & (F.size(own["calls"]) > 0), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

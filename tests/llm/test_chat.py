@@ -68,3 +68,15 @@ def test_given_conversations_against_plain_python(spark):
             want["tool_calls"] = calls[::-1]  # each waits for the one after it
         assert out.json == chat.canonical(want)
     assert sum(1 for r in got.values()) == given.count()
+
+
+def test_an_unreadable_call_keeps_its_siblings(spark):
+    calls = json.dumps([call("a", {"a": 1}), call("b", "{bad"), {"name": "add", "arguments": {"a": 1}}, call("n", {"a": float("nan")}), 5])
+    rows = [(1, 1, "assistant", None, calls, None), (1, 2, "tool", "ra", None, "a"), (1, 3, "tool", "rb", None, "b")]
+    schema = "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string"
+    got = chat.linked(spark.createDataFrame(rows, schema), SCHEMA).collect()
+    said = next(r for r in got if r.role == "assistant")
+    assert (said.n_calls, said.n_valid, said.n_answered) == (5, 1, 2)
+    assert [c["id"] for c in json.loads(said.json)["tool_calls"]] == ["a", "b", None, "n", None]
+    assert sorted(r.status for r in got if r.role == "tool") == ["linked", "linked"]
+    assert "b: malformed" in said.faults and "n: malformed" in said.faults and "?: malformed" in said.faults
