@@ -112,7 +112,7 @@ class Vocabulary:
             data = part.data.tobytes()
             before = len(self.pool)
             bounds = zip(found.starts[new].tolist(), found.ends[new].tolist(), strict=True)
-            met, size = self._encode([data[a:b].decode("utf-8").lower() for a, b in bounds])
+            met, size = self._encode([data[a:b].lower().decode("utf-8") for a, b in bounds])
             hashes = np.concatenate((self.hashes, unique[~known][met]))
             at = np.concatenate((self.at, before + np.cumsum(size) - size))
             order = np.argsort(hashes)

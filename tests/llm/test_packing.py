@@ -66,3 +66,9 @@ def test_ids_of_real_texts(spark):
     rows = [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
     for text, ids in zip(rows, packing.token_ids(pa.array(rows), packing.vocabulary(packing.TOKENIZER)), strict=True):
         assert ids.tolist() == exact_ids(text)
+
+
+def test_capitals_are_lowered_by_the_tokenizer():
+    rows = ["ΟΔΟΣ", "Η ΟΔΟΣ ΤΗΣ πόλης, ΟΔΟΣ. ABC ΣΑΣ"]
+    for text, ids in zip(rows, packing.token_ids(pa.array(rows), packing.Vocabulary(packing.TOKENIZER)), strict=True):
+        assert ids.tolist() == exact_ids(text)
