@@ -186,12 +186,38 @@ def _one(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.hint), F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))).otherwise(text)
 
 
+def _marked(mark: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), F.lit(mark).alias("mark"))
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """``docs`` with the confirmed spans of all kinds merged where they overlap, each replaced once by its first kind's mark."""
+    kinds, text = FURTHER + BASE, F.col("text")
+    nothing = F.from_json(F.lit("[]"), "array<struct<start:int,less:int,mark:string>>")
+    nowhere = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,ok:boolean>>")
+    found = docs.withColumns({f"__{k.name}": _proposals(F.coalesce("text", F.lit("")), k) for k in kinds})
+    found = found.withColumns({f"__{k.name}": F.when(F.size(f"__{k.name}") > 0, _placed(F.col(f"__{k.name}"))).otherwise(nowhere) for k in kinds})
+    found = found.withColumn("__spans", F.array_sort(F.concat(nothing, *(F.transform(f"__{k.name}", _marked(k.mark)) for k in kinds))))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.concat(F.substr(text, s["at"] + 1, x["start"] - s["at"]), x["mark"])
+        return F.struct(F.when(x["start"] >= s["at"], F.array_append(s["out"], gap)).otherwise(s["out"]).alias("out"),
+                        F.greatest(s["at"], -x["less"]).alias("at"))
+
+    start = F.struct(F.from_json(F.lit("[]"), "array<string>").alias("out"), F.lit(0).alias("at"))
+    merged = F.aggregate(
+        "__spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.size("__spans") > 0, merged).otherwise(text)).select(docs.columns)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``text`` replaced and ``n_chars`` (where present) counted anew.
 
-    The further kinds go first, since a base kind may match a part of them. Null text stays null.
+    All spans are those of the text as it came. What only their removal lets match is replaced
+    after them; there the further kinds go first, since a base kind may match a part of them.
+    Null text stays null.
     """
-    out = docs
+    out = _whole(docs)
     for kind in FURTHER + BASE:
         out = out.withColumn("text", _one(F.col("text"), kind))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -61,3 +61,12 @@ def test_redaction_leaves_no_base_span(spark):
             assert not any(brute(r.text).values()) and r.n_chars == len(r.text)
         if not any(brute(TEXTS[r.doc_id]).values()) and r.doc_id not in (11, 12, 13):
             assert r.text == TEXTS[r.doc_id]
+
+
+def test_overlapping_spans_are_removed_whole(spark):
+    secret = "24be64439e3e49cf46b2d7c90f3602a3"
+    texts = ["call +33.1.42.68.53.00 now", f"token {secret}@host.tld end", "a 1.2.3.4 b", None, "+1 23456789012 1.2.3.4 é x@y.zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert got[0] == "call <PHONE> now" and got[1] == "token <EMAIL> end" and got[2] == "a <IP> b" and got[3] is None
+    assert not any(brute(got[4]).values()) and got[4].endswith(" é <EMAIL>")
