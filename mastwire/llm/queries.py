@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators."""
+"""The thin queries of the thirteen operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mastwire.llm import chat, html, jaccard, language, neighbours, packing, pii, quality, repeats, templates
+from mastwire.llm import (
+    chat, divergence, html, jaccard, language, neighbours, packing, pii, prefixes, quality, repeats, rules, templates,
+)
 from mastwire.llm.store import table
 
 
@@ -50,6 +52,18 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.clusters(table(spark, folder, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(table(spark, folder, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -61,5 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_prefix_trie": prefixes.ORACLE, "op13_source_divergence": divergence.ORACLE}

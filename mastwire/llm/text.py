@@ -29,6 +29,8 @@ def _signs(seed: int) -> np.ndarray:
 #: Number of each byte; A-Z count as a-z.
 FOLDED = _signs(20240)
 FOLDED[65:91] = FOLDED[97:123]
+#: The same with capitals of their own.
+EXACT = _signs(20241)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ class Words:
     bounds: np.ndarray
 
 
-def words(part: Texts, kept: np.ndarray | None = None, cuts: np.ndarray | None = None) -> Words:
+def words(part: Texts, kept: np.ndarray | None = None, cuts: np.ndarray | None = None, signs: np.ndarray = FOLDED) -> Words:
     """Runs of non-blank bytes and their hashes; ``cuts`` marks bytes that begin a run of their own.
 
     ``kept`` marks the byte values that count: the others keep their place in the word but not
@@ -123,12 +125,12 @@ def words(part: Texts, kept: np.ndarray | None = None, cuts: np.ndarray | None =
         data = part.data[base : ends[last - 1]]
         up, down = _POWERS.upto(len(data) + 1)
         if kept is None:
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(FOLDED[data] * up[: len(data)], dtype=np.uint64)))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(signs[data] * up[: len(data)], dtype=np.uint64)))
             place = starts[word:last] - base
         else:
             counted = kept[data]
             order = np.concatenate(([0], np.cumsum(counted)))
-            terms = np.where(counted, FOLDED[data] * up[order[:-1]], np.uint64(0))
+            terms = np.where(counted, signs[data] * up[order[:-1]], np.uint64(0))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
             place = order[starts[word:last] - base]
         hashes[word:last] = (sums[ends[word:last] - base] - sums[starts[word:last] - base]) * down[place]
