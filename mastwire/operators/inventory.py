@@ -171,32 +171,6 @@ def distance_curve(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def location_spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Bounds on the farthest pair of locations per identity, without listing any pairs.
-
-    The box of the locations has a point on every side, so its longer side bounds the
-    distance from below and its diagonal from above.
-    """
-    box = df.groupBy(*keys).agg(
-        F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"),
-        F.count_distinct("lon", "lat").alias("locations"),
-    )
-    diagonal = haversine(F.col("w"), F.col("s"), F.col("e"), F.col("n"))
-    side = F.greatest(
-        haversine(F.col("w"), F.col("s"), F.col("e"), F.col("s")) * 0.999, haversine(F.col("w"), F.col("s"), F.col("w"), F.col("n"))
-    )
-    return box.select(*keys, "locations", side.alias("spread_at_least_m"), (diagonal * 1.001).alias("spread_at_most_m"))
-
-
-def conflicting_locations(df: DataFrame, keys: list[str], limit_m: float) -> DataFrame:
-    """Identities surely farther apart than the limit, surely within it, or left open."""
-    spread = location_spread(df, keys)
-    return spread.withColumn(
-        "verdict",
-        F.when(F.col("spread_at_least_m") > limit_m, "conflict").when(F.col("spread_at_most_m") <= limit_m, "agree").otherwise("open"),
-    )
-
-
 def connected_sites(points: DataFrame, key: str, radius_m: float) -> DataFrame:
     """Components of points linked by hops of at most the radius: (key, component).
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("network", "churn", "decisions", "places", "surroundings", "expansion", "learning")
+MODULES = ("network", "churn", "decisions", "places", "surroundings", "expansion", "learning", "grouping")
 
 
 def load_queries() -> None:

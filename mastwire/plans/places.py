@@ -325,15 +325,3 @@ def identity_matches(spark, sf):
 )
 def connected_site_groups(spark, sf):
     return I.connected_sites(candidates(spark, sf).select("candidate_id", "lon", "lat"), "candidate_id", 400.0).select("candidate_id", "component")
-
-
-@query(
-    "location_conflicts",
-    """WITH b AS (SELECT area AS k, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n, count(DISTINCT (lon, lat)) AS locations FROM {v_candidates} GROUP BY 1),
-        d AS (SELECT k, locations, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(n - s) / 2), 2) + cos(radians(s)) * cos(radians(n)) * pow(sin(radians(e - w) / 2), 2))) * 1.001 AS hi,
-          greatest(2 * 6371008.8 * asin(cos(radians(s)) * sin(radians(e - w) / 2)) * 0.999, 2 * 6371008.8 * asin(sin(radians(n - s) / 2))) AS lo FROM b)
-       SELECT k AS area, locations, round(lo, 2) AS spread_at_least_m, round(hi, 2) AS spread_at_most_m, CASE WHEN lo > 50000 THEN 'conflict' WHEN hi <= 50000 THEN 'agree' ELSE 'open' END AS verdict FROM d""",
-)
-def location_conflicts(spark, sf):
-    out = I.conflicting_locations(candidates(spark, sf), ["area"], 50_000.0)
-    return rounded(out, "spread_at_least_m", "spread_at_most_m", digits=2)
