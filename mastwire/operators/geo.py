@@ -172,14 +172,16 @@ def radius_sums(
 
 
 def nearest(
-    points: DataFrame, sites: DataFrame, keep: list[str] | None = None, start_m: float = 2000.0, others_only: bool = False
+    points: DataFrame, sites: DataFrame, keep: list[str] | None = None, start_m: float = 2000.0, others_only: bool = False,
+    within_m: float | None = None,
 ) -> DataFrame:
     """Distance to (and columns of) the nearest site for every distinct point location.
 
     The search starts in a small neighbourhood and widens fourfold for points whose best hit
     may not be the nearest. Of the cells met, only those that can beat the best upper bound
     are opened. `keep` names site columns to return; its order breaks exact ties. With
-    `others_only` a site at the very same location does not count unless it has a copy.
+    `others_only` a site at the very same location does not count unless it has a copy. With
+    `within_m` only hits up to that distance are sought, in one round; other locations are absent.
     """
     keep = keep or []
     if others_only:
@@ -192,9 +194,10 @@ def nearest(
     open_points = points.select("lon", "lat").distinct()
     extent = located.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     if extent[0] is None:
-        return open_points.withColumn("distance_m", F.lit(None).cast("double"))
+        none = open_points.withColumn("distance_m", F.lit(None).cast("double"))
+        return none.where(F.lit(False)) if within_m else none
     max_lat = max(_max_lat(open_points), _max_lat(located))
-    radius, found = start_m, None
+    radius, found = within_m or start_m, None
     while True:
         coarse = _steps(radius, max_lat)
         cells = _cells(located, coarse, {"n": F.col("copies") if others_only else F.lit(1)})
@@ -213,7 +216,7 @@ def nearest(
         settled = materialize(settled.select("lon", "lat", "hit.*"))
         found = settled if found is None else found.unionByName(settled)
         open_points = materialize(open_points.join(settled, ["lon", "lat"], "left_anti"))
-        if whole or not open_points.take(1):
+        if whole or within_m or not open_points.take(1):
             break
         radius *= 4
     if keep == ["site"]:
@@ -221,6 +224,46 @@ def nearest(
     return found.drop("copies")
 
 
+def nearest_in_sets(points: DataFrame, sites: DataFrame, sets: dict[str, Column], start_m: float = 2000.0) -> DataFrame:
+    """Distance to the nearest site of each set, for every distinct point location, in one search.
+
+    `sets` names conditions on a site. A cell bounds a set's distance only where it holds a site of
+    that set, and a cell is opened if it can beat the bound of any set. A set without a site has no
+    distance.
+    """
+    names = list(sets)
+    located = materialize(sites.withColumns({f"w_{n}": c.cast("int") for n, c in sets.items()}).groupBy("lon", "lat").agg(
+        *[F.max(f"w_{n}").alias(f"w_{n}") for n in names]))
+    open_points = points.select("lon", "lat").distinct()
+    some = located.agg(*[F.max(f"w_{n}").alias(n) for n in names]).first()
+    sought = [n for n in names if some[n]]
+    none = {n: F.lit(None).cast("double") for n in names if n not in sought}
+    if not sought:
+        return open_points.withColumns(none)
+    max_lat = max(_max_lat(open_points), _max_lat(located))
+    radius, found = start_m, None
+    while True:
+        coarse = _steps(radius, max_lat)
+        near = _near_cells(open_points, _cells(located, coarse, {n: F.col(f"w_{n}") for n in sought}), coarse)
+        place = Window.partitionBy("lon", "lat")
+        near = near.withColumns({f"_best_{n}": F.min(F.when(F.col(f"sum_{n}") > 0, F.col("high"))).over(place) for n in sought})
+        useful = F.lit(False)
+        for n in sought:
+            useful = useful | ((F.col(f"sum_{n}") > 0) & (F.col("low") <= F.col(f"_best_{n}")))
+        hits = _opened(near.where(useful).select("lon", "lat", "cell"), located, coarse, [f"w_{n}" for n in sought])
+        closest = hits.groupBy("lon", "lat").agg(*[F.min(F.when(F.col(f"w_{n}") > 0, F.col("distance_m"))).alias(n) for n in sought])
+        whole = radius > METRES_PER_DEGREE * 360
+        done = F.lit(True)
+        for n in sought:
+            done = done & F.coalesce(F.col(n) <= radius, F.lit(False))
+        settled = materialize(closest if whole else closest.where(done))
+        found = settled if found is None else found.unionByName(settled)
+        open_points = materialize(open_points.join(settled, ["lon", "lat"], "left_anti"))
+        if whole or not open_points.take(1):
+            return found.withColumns(none) if none else found
+        radius *= 4
+
+
 def site_context(points: DataFrame, sites: DataFrame, radii_m=(1000.0, 3000.0, 5000.0, 10000.0), flags=()) -> DataFrame:
     """Nearest site, sites within radii and nearest site of each flagged subset, per point."""
     out = points.join(
@@ -419,7 +462,7 @@ def nearest_line(points: DataFrame, segments: DataFrame, start_m: float = 2000.0
     if not pieces.take(1):
         return open_points.where(F.lit(False)).withColumn("distance_m", F.lit(None).cast("double"))
     max_lat = max(_max_lat(open_points), _max_lat(pieces))
-    radius, found = start_m, None
+    radius, found = within_m or start_m, None
     while True:
         coarse = _steps(radius, max_lat)
         cell = F.struct(

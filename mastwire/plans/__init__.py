@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("network", "churn", "decisions", "places", "surroundings", "expansion", "learning", "grouping")
+MODULES = ("network", "churn", "decisions", "places", "surroundings", "expansion", "learning", "grouping", "validation")
 
 
 def load_queries() -> None:

@@ -240,6 +240,15 @@ VIEWS["v_cells"] = """
                CAST(1600000000 + event_id % 1700 * 80000 AS DOUBLE) AS updated, floor(value / 4) AS samples
         FROM {events}"""
 
+# Radios of two networks; half of them say nothing about theirs.
+VIEWS["v_attribution"] = """
+        SELECT event_id, 13 + (user_id * 7919 % 7000) / CAST(10000 AS DOUBLE) + floor(value) / 20000 AS lon,
+               CAST(32.6 AS DOUBLE) + (user_id * 104729 % 3500) / CAST(10000 AS DOUBLE) + event_id % 7 / CAST(10000 AS DOUBLE) AS lat,
+               CASE WHEN user_id % 5 = 0 THEN '0' WHEN user_id % 5 = 1 THEN '1' END AS mnc,
+               CASE WHEN value > 95 THEN 'network_a' WHEN value > 90 THEN 'network_b' END AS stated,
+               CAST(user_id % 20 AS STRING) AS region_id, CAST(event_id % 5 + 1396 AS INT) AS channel, event_id % 50 = 0 AS confirmed
+        FROM {events}"""
+
 # Straight roads between successive sites of a nation.
 VIEWS["v_roads"] = """
         SELECT site_id AS road_id, lon AS x1, lat AS y1, x2, y2
