@@ -446,23 +446,27 @@ def line_pieces(segments: DataFrame, piece_m: float) -> DataFrame:
     return out.withColumns(ends).drop("_n", "_i")
 
 
-def nearest_line(points: DataFrame, segments: DataFrame, start_m: float = 2000.0) -> DataFrame:
-    """Distance to the nearest segment for every distinct point location.
+def nearest_line(points: DataFrame, segments: DataFrame, start_m: float = 2000.0, keep: str | None = None) -> DataFrame:
+    """Distance to the nearest segment for every distinct point location, and its column `keep`.
+
+    With `keep` distances are compared in whole millimetres, ties going to its smallest value.
 
     Segments are cut to pieces shorter than a fine cell; a cell's box covers its whole pieces,
     so the same bounds apply as for sites, and a hit settles once no piece outside the
     neighbourhood can be nearer.
     """
     piece = start_m / FINE_PER_COARSE
-    pieces = line_pieces(segments.select("x1", "y1", "x2", "y2").distinct(), piece)
+    kept = [keep] if keep else []
+    pieces = line_pieces(segments.select("x1", "y1", "x2", "y2", *kept).distinct(), piece)
     pieces = materialize(
         pieces.withColumns({"lon": (F.col("x1") + F.col("x2")) / 2, "lat": (F.col("y1") + F.col("y2")) / 2})
     )
     open_points = points.select("lon", "lat").distinct()
     if not pieces.take(1):
-        return open_points.where(F.lit(False)).withColumn("distance_m", F.lit(None).cast("double"))
+        none = open_points.where(F.lit(False)).withColumn("distance_m", F.lit(None).cast("double"))
+        return none.withColumn(keep, F.lit(None).cast(segments.schema[keep].dataType)) if keep else none
     max_lat = max(_max_lat(open_points), _max_lat(pieces))
-    radius, found = within_m or start_m, None
+    radius, found = start_m, None
     while True:
         coarse = _steps(radius, max_lat)
         cell = F.struct(
@@ -479,10 +483,13 @@ def nearest_line(points: DataFrame, segments: DataFrame, start_m: float = 2000.0
         best = near.withColumn("_best", F.min("high").over(Window.partitionBy("lon", "lat")))
         # Flat local metres differ slightly from the sphere, hence the wider margin.
         able = best.where(F.col("low") * 0.99 <= F.col("_best") * 1.01).select("lon", "lat", "cell")
-        hits = _opened(able, pieces, coarse, ["x1", "y1", "x2", "y2"]).withColumn(
+        hits = _opened(able, pieces, coarse, ["x1", "y1", "x2", "y2", *kept]).withColumn(
             "distance_m", segment_distance(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])
         )
-        closest = hits.groupBy("lon", "lat").agg(F.min("distance_m").alias("distance_m"))
+        if keep:
+            closest = hits.groupBy("lon", "lat").agg(F.min(F.struct(F.round("distance_m", 3).alias("distance_m"), keep)).alias("hit")).select("lon", "lat", "hit.*")
+        else:
+            closest = hits.groupBy("lon", "lat").agg(F.min("distance_m").alias("distance_m"))
         whole = radius > METRES_PER_DEGREE * 360
         settled = materialize(closest if whole else closest.where(F.col("distance_m") <= (radius - piece) * 0.99))
         found = settled if found is None else found.unionByName(settled)
@@ -492,9 +499,34 @@ def nearest_line(points: DataFrame, segments: DataFrame, start_m: float = 2000.0
         radius *= 4
 
 
-def line_length_by_cell(segments: DataFrame, step: float, piece_m: float = 50.0) -> DataFrame:
-    """Metres of line per grid cell: short pieces counted in the cell of their midpoint."""
-    pieces = line_pieces(segments, piece_m)
-    x, y = grid_cell((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, step)
-    length = haversine(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return pieces.groupBy(x.alias("cx"), y.alias("cy")).agg(F.sum(length).alias("metres"))
+def line_length_by_cell(segments: DataFrame, step: float) -> DataFrame:
+    """Metres of line per grid cell: each segment is cut where it crosses a grid line.
+
+    A piece counts with its share of the segment, so the cells add up to the length of all segments;
+    a piece along a grid line belongs to the cell above or right of it.
+    """
+    def crossings(a: Column, b: Column) -> Column:
+        low, high = F.floor(F.least(a, b) / step) + 1, F.ceil(F.greatest(a, b) / step) - 1
+        lines = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(lines, lambda k: (k * step - a) / (b - a))
+
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings(x1, x2), crossings(y1, y2))))
+    spans = F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1), lambda i: F.struct(F.get("_cuts", i - 1).alias("a"), F.get("_cuts", i).alias("b")))
+    length = haversine(x1, y1, x2, y2)
+    pieces = segments.select("x1", "y1", "x2", "y2", length.alias("_m"), cuts.alias("_cuts")).withColumn("_s", F.explode(spans))
+    half = (F.col("_s.a") + F.col("_s.b")) / 2
+    x, y = grid_cell(x1 + (x2 - x1) * half, y1 + (y2 - y1) * half, step)
+    return pieces.groupBy(x.alias("cx"), y.alias("cy")).agg(F.sum(F.col("_m") * (F.col("_s.b") - F.col("_s.a"))).alias("metres"))
+
+
+def assign_or_nearest(points: DataFrame, edges: DataFrame, step: float) -> DataFrame:
+    """Each distinct location with the first area that contains it, or else the one with the nearest edge.
+
+    `way` is `inside` or `nearest`; equally near areas (in whole millimetres) go to the smallest id.
+    """
+    places = points.select("lon", "lat").distinct()
+    inside = materialize(assign_areas(places, edges, step))
+    outside = materialize(places.join(inside, ["lon", "lat"], "left_anti"))
+    fallback = nearest_line(outside, edges, keep="area").select("lon", "lat", "area", F.lit("nearest").alias("way"), "distance_m")
+    return inside.select("lon", "lat", "area", F.lit("inside").alias("way"), F.lit(0.0).alias("distance_m")).unionByName(fallback)

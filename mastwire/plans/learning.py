@@ -130,6 +130,16 @@ def tower_similarity_edges(spark, sf):
     return H.composite_edges(similar(spark, sf), kpi)
 
 
+@query("tower_neighbours")
+def tower_neighbours(spark, sf):
+    return H.strongest_neighbours(tower_similarity_edges(spark, sf))
+
+
+@query("tower_graph_summary")
+def tower_graph_summary(spark, sf):
+    return H.graph_summary(tower_similarity_edges(spark, sf))
+
+
 @query("tower_graph_features")
 def tower_graph_features(spark, sf):
     edges = materialize(similar(spark, sf))

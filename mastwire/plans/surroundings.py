@@ -31,9 +31,36 @@ def nearest_road(spark, sf):
     return rounded(out, "road_m", digits=2)
 
 
-@query("road_length_by_cell")
+LINES = "CASE WHEN floor(least({a}, {b}) / 0.05) + 1 <= ceil(greatest({a}, {b}) / 0.05) - 1 THEN list_transform(range((floor(least({a}, {b}) / 0.05) + 1)::bigint, (ceil(greatest({a}, {b}) / 0.05))::bigint), lambda k: (k * 0.05::double - {a}) / ({b} - {a})) ELSE [] END"
+
+
+@query(
+    "road_length_by_cell",
+    f"""WITH r AS (SELECT *, list_sort(list_distinct([0.0::double, 1.0::double] || {LINES.format(a="x1", b="x2")} || {LINES.format(a="y1", b="y2")})) AS cuts,
+          2 * 6371008.8 * asin(sqrt(pow(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2))) AS m FROM {{v_roads}}),
+        p AS (SELECT x1, x2, y1, y2, m, cuts[i] AS a, cuts[i + 1] AS b FROM (SELECT *, unnest(range(1, len(cuts))) AS i FROM r))
+       SELECT CAST(floor((x1 + (x2 - x1) * (a + b) / 2) / 0.05) AS BIGINT) AS cx, CAST(floor((y1 + (y2 - y1) * (a + b) / 2) / 0.05) AS BIGINT) AS cy, round(sum(m * (b - a)), 3) AS metres FROM p GROUP BY 1, 2""",
+)
 def road_length_by_cell(spark, sf):
-    return D.line_length_by_cell(view(spark, sf, "v_roads"), 0.05, 500.0)
+    return rounded(D.line_length_by_cell(view(spark, sf, "v_roads"), 0.05), "metres", digits=3)
+
+
+@query(
+    "area_or_nearest",
+    """WITH x AS (SELECT c.candidate_id, e.area, count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / nullif(y2 - y1, 0)) AS n
+          FROM {v_candidates} c CROSS JOIN {v_area_edges} e GROUP BY 1, 2),
+        i AS (SELECT candidate_id, min(area) AS area FROM x WHERE n % 2 = 1 GROUP BY 1),
+        f AS (SELECT c.candidate_id, e.area, (x1 - lon) * cos(radians(lat)) * k AS ax, (y1 - lat) * k AS ay, (x2 - x1) * cos(radians(lat)) * k AS dx, (y2 - y1) * k AS dy
+          FROM {v_candidates} c CROSS JOIN {v_area_edges} e CROSS JOIN (SELECT 6371008.8 * pi() / 180 AS k) WHERE c.candidate_id NOT IN (SELECT candidate_id FROM i)),
+        t AS (SELECT *, least(greatest(coalesce(-(ax * dx + ay * dy) / nullif(dx * dx + dy * dy, 0), 0), 0), 1) AS t FROM f),
+        d AS (SELECT candidate_id, area, round(sqrt((ax + t * dx) ** 2 + (ay + t * dy) ** 2), 3) AS d FROM t),
+        n AS (SELECT candidate_id, arg_min(area, (d, area)) AS area, min(d) AS d FROM d GROUP BY 1)
+       SELECT candidate_id, area, 'inside' AS way, 0.0::double AS distance_m FROM i UNION ALL SELECT candidate_id, area, 'nearest', round(d, 2) FROM n""",
+)
+def area_or_nearest(spark, sf):
+    points = candidates(spark, sf).select("candidate_id", "lon", "lat")
+    found = D.assign_or_nearest(points, view(spark, sf, "v_area_edges"), 0.1)
+    return rounded(points.join(found, ["lon", "lat"]).drop("lon", "lat"), "distance_m", digits=2)
 
 
 @query(

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mastwire.operators import geo as D
@@ -97,3 +98,30 @@ def test_zonal_total_is_unknown_when_data_are_missing(spark):
     got = {r["lon"]: r for r in D.zonal_total(p, px, 2000.0).collect()}
     assert got[13.0]["total"] == 60.0
     assert got[13.05]["total"] is None and abs(got[13.05]["valid_fraction"] - 2 / 3) < 1e-9
+
+
+def test_line_lengths_are_cut_at_cell_borders(spark):
+    rng = random.Random(8)
+    lines = [(13 + rng.random() * 0.5, 32 + rng.random() * 0.5, 13 + rng.random() * 0.5, 32 + rng.random() * 0.5) for _ in range(25)]
+    lines += [(13.01, 32.02, 13.02, 32.03), (13.0, 32.05, 13.3, 32.05), (13.1, 32.0, 13.1, 32.4), (13.2, 32.2, 13.2, 32.2), (-0.02, -0.02, 0.03, 0.01)]
+    df = spark.createDataFrame(lines, "x1 double, y1 double, x2 double, y2 double")
+    got = {(r.cx, r.cy): r.metres for r in D.line_length_by_cell(df, 0.05).collect()}
+    want = {}
+    for x1, y1, x2, y2 in lines:
+        n = 4000
+        for i in range(n):
+            t = (i + 0.5) / n
+            cell = math.floor((x1 + (x2 - x1) * t) / 0.05), math.floor((y1 + (y2 - y1) * t) / 0.05)
+            want[cell] = want.get(cell, 0) + metres((x1, y1), (x2, y2)) / n
+    assert sum(got.values()) == pytest.approx(sum(metres(x[:2], x[2:]) for x in lines))
+    assert all(abs(got.get(c, 0) - want.get(c, 0)) < 60 for c in got.keys() | want.keys())
+
+
+def test_points_outside_all_areas_get_the_nearest(spark):
+    square = lambda a, x, y: [(a, x, y, x + 1, y), (a, x + 1, y, x + 1, y + 1), (a, x + 1, y + 1, x, y + 1), (a, x, y + 1, x, y)]
+    edges = spark.createDataFrame([*square(1, 10.0, 0.0), *square(2, 12.0, 0.0)], "area int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(10.5, 0.5), (11.5, 0.5), (11.4, 0.2), (13.5, 0.5), (30.0, 0.5)], "lon double, lat double")
+    got = {r.lon: (r.area, r.way, r.distance_m) for r in D.assign_or_nearest(points, edges, 0.25).collect()}
+    assert got[10.5] == (1, "inside", 0.0) and got[11.5][:2] == (1, "nearest") and got[11.4][0] == 1 and got[13.5][0] == got[30.0][0] == 2
+    assert got[13.5][2] == pytest.approx(metres((13.0, 0.5), (13.5, 0.5)), rel=1e-3)
+    assert D.assign_or_nearest(points, edges.limit(0), 0.25).count() == 0
