@@ -172,12 +172,14 @@ def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     repeated (a later result of the same call) or orphan; ``faults`` lists what is wrong. A null
     conv_id or identifier links with nothing; null text is empty content; a list that cannot be
     read is a fault and holds no calls; a call that cannot be read is a call with a fault. Of several calls with one identifier the first by turn is
-    the owner. Repeated rows and columns of other names change nothing.
+    the owner. A message is known by its turn and its content: repeated rows are one message, whose calls
+    count once, and each of them gets the same result row; two messages of one turn are judged apart.
+    Messages of any length are taken whole, and columns of other names are not read.
     """
-    read = saved(_read(messages, schemas))
-    calls = saved(read.select("conv_id", "turn", F.explode("calls").alias("call")).select("conv_id", "turn", "call.*"))
+    read = saved(_read(messages, schemas).withColumn("message", F.xxhash64("turn", "role", "json", F.to_json("calls"))))
+    calls = saved(read.select("conv_id", "turn", "message", F.explode("calls").alias("call")).select("conv_id", "turn", "message", "call.*").distinct())
     owner = saved(calls.where(F.col("conv_id").isNotNull()).groupBy("conv_id", "call_id").agg(
-        F.min(F.struct("turn", "place")).alias("own"), F.count("*").alias("named")))
+        F.min(F.struct("turn", "place", "message")).alias("own"), F.count("*").alias("named")))
     results = read.where("role = 'tool'").select("conv_id", F.col("tool_call_id").alias("call_id"), "turn", "role", "json")
     firsts = saved(results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(
         F.min(F.struct("turn", "json")).alias("first")))
@@ -191,21 +193,21 @@ def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     answered = firsts.select(*by, F.lit(True).alias("answered"), F.col("first.turn").alias("answer_turn"))
     judged = calls.join(owner, by, "left").join(answered, by, "left")
     # What a call waits for must be a call of the conversation, in no later message.
-    needs = calls.select("conv_id", "turn", "place", F.explode("needs").alias("need")).join(
+    needs = calls.select("conv_id", "turn", "message", "place", F.explode("needs").alias("need")).join(
         owner.select("conv_id", F.col("call_id").alias("need"), F.col("own.turn").alias("need_turn")), ["conv_id", "need"], "left")
-    unmet = needs.where(F.col("need_turn").isNull() | (F.col("need_turn") > F.col("turn"))).groupBy("conv_id", "turn", "place").agg(
+    unmet = needs.where(F.col("need_turn").isNull() | (F.col("need_turn") > F.col("turn"))).groupBy("conv_id", "message", "place").agg(
         F.array_sort(F.collect_set("need")).alias("unmet"))
     unmet = saved(unmet)
-    same = (judged["conv_id"].eqNullSafe(unmet["conv_id"])) & (judged["turn"].eqNullSafe(unmet["turn"])) & (judged["place"] == unmet["place"])
+    same = (judged["conv_id"].eqNullSafe(unmet["conv_id"])) & (judged["message"] == unmet["message"]) & (judged["place"] == unmet["place"])
     judged = judged.join(unmet, same, "left").select(
-        judged["conv_id"], judged["turn"], judged["call_id"], F.coalesce("answered", F.lit(False)).alias("answered"),
+        judged["conv_id"], judged["message"], judged["call_id"], F.coalesce("answered", F.lit(False)).alias("answered"),
         F.concat("faults", F.when(F.col("named") > 1, F.array(F.lit("identifier used again"))).otherwise(F.array().cast("array<string>")),
                  F.transform(F.coalesce("unmet", F.array().cast("array<string>")), lambda x: F.concat(F.lit("waits for unknown "), x))).alias("faults"))
-    counts = saved(judged.groupBy("conv_id", "turn").agg(
+    counts = saved(judged.groupBy("conv_id", "message").agg(
         F.count("*").alias("n_calls"), F.sum((F.size("faults") == 0).cast("long")).alias("n_valid"), F.sum(F.col("answered").cast("long")).alias("n_answered"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.size("faults") > 0, F.concat_ws("; ", F.concat(F.coalesce("call_id", F.lit("?")), F.lit(": "), F.array_join("faults", ", ")))))), " | ").alias("faults")))
     own = read.where("role is null or role <> 'tool'")
-    said = own.join(counts, own["conv_id"].eqNullSafe(counts["conv_id"]) & own["turn"].eqNullSafe(counts["turn"]) & (F.size(own["calls"]) > 0), "left")
+    said = own.join(counts, own["conv_id"].eqNullSafe(counts["conv_id"]) & (own["message"] == counts["message"]) & (F.size(own["calls"]) > 0), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     text = lambda *c: F.nullif(F.concat_ws(" | ", *c), F.lit("")).alias("faults")
     return said.select(

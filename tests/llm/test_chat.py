@@ -80,3 +80,23 @@ def test_an_unreadable_call_keeps_its_siblings(spark):
     assert [c["id"] for c in json.loads(said.json)["tool_calls"]] == ["a", "b", None, "n", None]
     assert sorted(r.status for r in got if r.role == "tool") == ["linked", "linked"]
     assert "b: malformed" in said.faults and "n: malformed" in said.faults and "?: malformed" in said.faults
+
+
+def test_repeated_messages_count_once_and_other_messages_of_a_turn_apart(spark):
+    import json
+
+    from mastwire.llm import chat
+
+    schema = {"t": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}}
+    call = lambda i, x: json.dumps([{"id": i, "name": "t", "arguments": {"x": x}}])
+    long = "word " * 400_000
+    rows = [(1, 1, "assistant", "hi", call("a", 1), None)] * 2 + [(1, 1, "assistant", long, call("b", "no"), None), (1, 2, "tool", "5", None, "a")]
+    rows += [(1, 2, "tool", "5", None, "a")] + [(9, t, "assistant", "", call(f"k{t}", t), None) for t in range(500)]
+    names = "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string"
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], names + ", message long, fault string")
+    got = chat.linked(df, schema).collect()
+    assert len(got) == len(rows)
+    said = [(r.n_calls, r.n_valid, r.n_answered, r.faults) for r in got if r.conv_id == 1 and r.role == "assistant"]
+    assert sorted(said, key=str) == [(1, 0, 0, "b: $.x: not integer"), (1, 1, 1, None), (1, 1, 1, None)]
+    assert [r.status for r in got if r.role == "tool"] == ["linked", "linked"]
+    assert all((r.n_calls, r.n_valid) == (1, 1) for r in got if r.conv_id == 9)
