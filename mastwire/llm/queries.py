@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mastwire.llm import (
     chat, divergence, html, jaccard, language, neighbours, packing, pii, prefixes, quality, repeats, rules, templates,
@@ -17,7 +18,8 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.removed(table(spark, folder, "documents")).drop("kept")
+    # The text that stays; a character that a cut divides shows as U+FFFD.
+    return repeats.removed(table(spark, folder, "documents")).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:

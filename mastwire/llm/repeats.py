@@ -1,15 +1,12 @@
-"""Bytes covered by long strings that start elsewhere too, by prefix doubling over ranked positions.
-
-A string of ``length`` bytes is ranked by what it begins with, then by pairs of its rank and what
-follows at growing offsets; ranks that are unique drop out, until the whole length is covered.
-
-Ranking every byte of a corpus would shuffle many times its size. So positions go in groups: the
-smallest hash of the 16-byte grams in the first WINDOW bytes of a string is its anchor, the same
-in every copy of the string. All strings of one anchor hold the CORE bytes from the anchor on,
-and the first round ranks the anchors by these (a position in the corpus is ranked through its
-anchor). The second round ranks runs of up to CELL strings of a surviving anchor by the bytes
-that they have in common, the third single strings by those at their ends. A run whose bytes all
-repeat is settled as a whole in each round. Every string is decided in one of the rounds.
+"""Bytes covered by long strings that start elsewhere too, by groups of anchors, cells and strings.
+
+Not prefix doubling: nothing is ranked or sorted. Ranking every byte of a corpus would shuffle many
+times its size in each round, so positions go in groups that hashes tell apart. The smallest hash of the
+16-byte grams in the first WINDOW bytes of a string is its anchor, the same in every copy of the
+string, and all strings of one anchor hold the CORE bytes from the anchor on. The first round keeps
+the anchors whose core occurs again, the second the runs of up to CELL strings of such an anchor
+whose common bytes occur again, the third single strings. A run whose bytes all repeat is settled as
+a whole in each round. Every string is decided in one of the rounds, so none is lost.
 """
 
 from __future__ import annotations

@@ -205,9 +205,9 @@ def agreeing(run: list[tuple], slots: list[int], own: list[int], exact: list[int
     """Places of one run (place, hash, values) that fit the item, and whether all its values are the item's own.
 
     In a run a word of the item meets one word of the document. Each value is mapped to the word
-    that it meets most often, to itself among equals; windows that hold the item's own values fit,
+    that it meets most often, to itself among equals; windows that hold the item's own values always fit,
     and so do those that follow the map. Two values may meet one word. Where more windows break
-    the map than follow it, the run is other text in the same form.
+    the map than follow it, the others are other text in the same form and only the item's own stay.
     """
     item = dict(zip(slots, own, strict=True))
     typed, plain, met = {}, set(), {}
@@ -226,7 +226,7 @@ def agreeing(run: list[tuple], slots: list[int], own: list[int], exact: list[int
     to = {v: max(c, key=lambda x: (c[x], x == v, x)) for v, c in votes.items()}
     kept = mine | {p for p, inside in typed.items() if all(met[w] == to[item[w]] for w in inside)}
     broken = len(typed.keys() - kept)
-    return (sorted(kept), not broken and kept == mine) if len(kept) > broken else ([], False)
+    return (sorted(kept), not broken and kept == mine) if len(kept) > broken else (sorted(mine), False)
 
 
 def _fitting(runs: DataFrame) -> DataFrame:
