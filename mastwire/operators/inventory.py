@@ -59,9 +59,9 @@ def measurement_eligible(dbm: Column, accuracy: Column, neighbouring: Column) ->
 def deduplicate_radios(df: DataFrame) -> DataFrame:
     """One row per (technology, region, site): location medians, spans and distinct lists.
 
-    Observations are first merged per distinct channel, band and place with counts, so a site
-    holding a third of all observations is reduced before its lists are built. Lists hold
-    distinct channels and bands, which are few. Medians come from the ordered counts.
+    Sets of channels and bands are combined before the shuffle and stay small, since distinct ones
+    are few. Medians come from counts of equal values in one global order, so a site with a third of all
+    observations fills no task.
     """
     keys = ["rat", "region_id", "site_id"]
     out = df.groupBy(*keys).agg(
@@ -176,7 +176,7 @@ def connected_sites(points: DataFrame, key: str, radius_m: float) -> DataFrame:
 
     Points in one cell narrower than radius/sqrt(2) are all linked, so cells are the nodes and
     no pairs inside a cell are listed. Two cells are linked when their closest points are in
-    reach; their points are compared only when the boxes leave it open. Labels spread by
+    reach, found by comparing the places of neighbouring cells. Labels spread by
     taking the smallest of the neighbours' and jumping to the label's own label, so rounds
     grow with the logarithm of the longest chain.
     """
