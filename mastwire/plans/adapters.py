@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 from mastwire.operators.network import BAND_PREFIXES
-from mastwire.operators.subscribers import CONTRACT, month_column
+from mastwire.operators.subscribers import BINARY, CHECKS, PRESENT, month_column
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -113,47 +113,44 @@ def _subscriber_sql() -> str:
         has = f"n_{month} > 0"
         parts = [f"q_{f}{s}_{month}" for f in flags for s in statuses]
         day = f"concat('2014-0{month}-', lpad(CAST(least(day(d_{month}), 30) AS STRING), 2, '0'))"
-        position = 0
-        for group in CONTRACT:
-            for base in group.bases:
-                name = month_column(base, month)
-                usage = f"coalesce({parts[position % len(parts)]}, 0)"
-                position += 1
-                if base == "total_og_mou":
-                    sql = f"coalesce(q_RO_{month}, 0) + coalesce(q_RF_{month}, 0)"
-                elif base == "total_ic_mou":
-                    sql = f"coalesce(q_AO_{month}, 0) + coalesce(q_AF_{month}, 0)"
-                elif base == "vol_2g_mb":
-                    sql = f"coalesce(q_NO_{month}, 0) * 10"
-                elif base == "vol_3g_mb":
-                    sql = f"coalesce(q_NF_{month}, 0) * 10"
-                elif base == "total_rech_num":
-                    sql = f"CAST(coalesce(n_{month}, 0) AS DOUBLE)"
-                elif base == "total_rech_amt":
-                    sql = f"coalesce(amt_{month}, 0)"
-                elif base in ("max_rech_amt", "last_day_rch_amt"):
-                    sql = f"coalesce(mx_{month}, 0)"
-                elif base == "arpu":
-                    sql = f"coalesce(amt_{month}, 0) / 2 - 20"
-                elif base == "date_of_last_rech":
-                    sql = f"CASE WHEN {has} THEN {day} END"
-                elif base == "last_date_of_month":
-                    sql = f"'{month_ends[month]}'"
-                elif base == "date_of_last_rech_data":
-                    sql = f"CASE WHEN q_NO_{month} > 0 THEN {day} END"
-                elif group.kind == "flag":
-                    sql = f"CASE WHEN q_NO_{month} > 0 THEN CAST(n_{month} % 2 AS DOUBLE) END"
-                elif base in ("total_rech_data", "count_rech_2g", "count_rech_3g"):
-                    sql = f"CASE WHEN q_NO_{month} > 0 THEN CAST(1 + n_{month} % 3 AS DOUBLE) END"
-                elif base in ("max_rech_data", "av_rech_amt_data", "arpu_2g", "arpu_3g"):
-                    sql = f"CASE WHEN q_NO_{month} > 0 THEN q_NO_{month} / 2 END"
-                elif base.startswith("monthly") or base.startswith("sachet"):
-                    sql = f"CAST(floor({usage} / 40) AS DOUBLE)"
-                elif group.nullable:
-                    sql = f"CASE WHEN {has} THEN {usage} END"
-                else:
-                    sql = usage
-                outer.append(f"{sql} AS {name}")
+        for position, (base, checks) in enumerate(CHECKS.items()):
+            name = month_column(base, month)
+            usage = f"coalesce({parts[position % len(parts)]}, 0)"
+            if base == "total_og_mou":
+                sql = f"coalesce(q_RO_{month}, 0) + coalesce(q_RF_{month}, 0)"
+            elif base == "total_ic_mou":
+                sql = f"coalesce(q_AO_{month}, 0) + coalesce(q_AF_{month}, 0)"
+            elif base == "vol_2g_mb":
+                sql = f"coalesce(q_NO_{month}, 0) * 10"
+            elif base == "vol_3g_mb":
+                sql = f"coalesce(q_NF_{month}, 0) * 10"
+            elif base == "total_rech_num":
+                sql = f"CAST(coalesce(n_{month}, 0) AS DOUBLE)"
+            elif base == "total_rech_amt":
+                sql = f"coalesce(amt_{month}, 0)"
+            elif base in ("max_rech_amt", "last_day_rch_amt"):
+                sql = f"coalesce(mx_{month}, 0)"
+            elif base == "arpu":
+                sql = f"coalesce(amt_{month}, 0) / 2 - 20"
+            elif base == "date_of_last_rech":
+                sql = f"CASE WHEN {has} THEN {day} END"
+            elif base == "last_date_of_month":
+                sql = f"'{month_ends[month]}'"
+            elif base == "date_of_last_rech_data":
+                sql = f"CASE WHEN q_NO_{month} > 0 THEN {day} END"
+            elif BINARY in checks:
+                sql = f"CASE WHEN q_NO_{month} > 0 THEN CAST(n_{month} % 2 AS DOUBLE) END"
+            elif base in ("total_rech_data", "count_rech_2g", "count_rech_3g"):
+                sql = f"CASE WHEN q_NO_{month} > 0 THEN CAST(1 + n_{month} % 3 AS DOUBLE) END"
+            elif base in ("max_rech_data", "av_rech_amt_data", "arpu_2g", "arpu_3g"):
+                sql = f"CASE WHEN q_NO_{month} > 0 THEN q_NO_{month} / 2 END"
+            elif base.startswith("monthly") or base.startswith("sachet"):
+                sql = f"CAST(floor({usage} / 40) AS DOUBLE)"
+            elif PRESENT not in checks:
+                sql = f"CASE WHEN {has} THEN {usage} END"
+            else:
+                sql = usage
+            outer.append(f"{sql} AS {name}")
     return f"""
         SELECT concat('S', c_custkey) AS id, CAST(180 + c_custkey * 37 % 4000 AS DOUBLE) AS aon,
                CASE WHEN coalesce(later, 0) = 0 THEN 1.0 ELSE 0.0 END AS churn_probability,

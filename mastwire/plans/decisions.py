@@ -141,11 +141,11 @@ def delivery_costs(spark, sf):
        UNION ALL SELECT 'rows', 'unscored customers have neither', count(*) FROM {v_decisions} WHERE value_status = 'already_silent') x WHERE failures > 0""",
 )
 def decision_input_failures(spark, sf):
-    known = [r["offer_id"] for r in M.catalogue_rows(offers(spark, sf)) if r["offer_id"] != "OF_24"]
     broken = inputs(spark, sf).withColumn(
         "churn_probability", F.when(F.col("value_status") == "already_silent", 0.5).otherwise(F.col("churn_probability"))
     )
-    return C.summarize(broken, R.decision_rules(known)).select("column", "check", "failures")
+    known = R.with_known_bundle(broken, offers(spark, sf).where(F.col("offer_id") != "OF_24"))
+    return C.summarize(known, R.decision_rules()).select("column", "check", "failures")
 
 
 @query(

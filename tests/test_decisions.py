@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mastwire.functions.ladders import dearest_affordable, interval_number, largest_within, nearest
 from mastwire.operators import campaign as G
+from mastwire.operators import market as M
 from mastwire.operators import retention as R
 from mastwire.operators.market import CARDS
 
@@ -108,3 +109,35 @@ def test_best_offer_of_a_large_catalogue_equals_the_plain_search(spark):
             rank = (p * 0.05 * value - r["cost_dirhams"] / 1000, r["offer_id"] == "pref", [-ord(c) for c in r["offer_id"]])
             best = max(best, (rank, r), key=lambda x: x[0]) if best else (rank, r)
         assert got[who] == ((best[1]["offer_id"], best[1]["cost_dirhams"]) if best else ("NO_OFFER", 0))
+
+
+def test_bundles_of_a_large_catalogue_equal_the_plain_search(spark):
+    rng = random.Random(3)
+    families = ["Monthly offers", "Daily offers", "Weekly offers", "Roaming"]
+    rows = [(f"o{i:05d}", rng.choice(families), rng.choice([None, round(rng.uniform(2, 60), 2), round(rng.lognormvariate(1, 2), 2)])) for i in range(12_000)]
+    offers = spark.createDataFrame(rows, "offer_id string, family_en string, price_lyd double")
+    people = [(i, rng.choice([0.0, 1.0]), rng.choice([0.0, 1.0]), rng.choice([None, 0.0, 1.0, rng.uniform(0, 9), rng.lognormvariate(3, 3)]), rng.choice([1.0, 3.0]))
+              for i in range(400)]
+    frame = spark.createDataFrame(people, "id int, cur_monthly_2g double, cur_sachet_3g double, cur_av_rech_amt_data double, cur_total_rech_data double")
+    frame = frame.withColumns({"cur_monthly_3g": F.lit(0.0), "cur_sachet_2g": F.lit(0.0)})
+    got = {r.id: (r.bundle_held, r.bundle_price_lyd) for r in M.with_bundle(frame, 2.0, offers).collect()}
+    assert len(got) == 400
+    for who, monthly, short, average, count in people:
+        if not monthly and not short:
+            assert got[who] == ("PAYG", None)
+            continue
+        steps = sorted((p, o) for o, f, p in rows if p is not None and f in (families[:1] if monthly else families[1:3]))
+        amount = None if average is None else average * 2.0 * (count if monthly else 1)
+        payable = [s for s in steps if amount is not None and s[0] <= amount]
+        price, offer = payable[-1] if payable else steps[0]
+        assert got[who] == (offer, price)
+
+
+def test_bundles_without_an_offer_of_their_kind(spark):
+    frame = spark.createDataFrame([(1, 1.0, 0.0, 5.0, 1.0), (2, 0.0, 1.0, 5.0, 1.0), (3, 0.0, 0.0, 5.0, 1.0)],
+                                  "id int, cur_monthly_2g double, cur_sachet_3g double, cur_av_rech_amt_data double, cur_total_rech_data double")
+    frame = frame.withColumns({"cur_monthly_3g": F.lit(0.0), "cur_sachet_2g": F.lit(0.0)})
+    offers = spark.createDataFrame([("a", "Daily offers", 9.0)], "offer_id string, family_en string, price_lyd double")
+    held = lambda o: {r.id: r.bundle_held for r in M.with_bundle(frame, 1.0, o).collect()}
+    assert held(offers) == {1: None, 2: "a", 3: "PAYG"}
+    assert held(offers.limit(0)) == {1: None, 2: None, 3: "PAYG"}
