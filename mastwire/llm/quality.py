@@ -186,15 +186,15 @@ def held_out(doc_id: str = "doc_id", folds: int = FOLDS):
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
-    The model is fitted on at most ``max_rows`` labelled rows outside the held-out fold and
+    The model is fitted on at most ``max_rows`` distinct labelled rows outside the held-out fold and
     applied to all. Labels that are null or without a document are not used; repeated rows are
     scored one by one; null and empty texts get the score of all-zero measures.
     """
     rows = saved(measured(docs))
     known = labels.where(F.col("quality").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
-    train = (rows.where(~held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *MEASURES, "quality")
-             .limit(max_rows).toPandas())
+    labelled = rows.where(~held_out()).join(known, "doc_id").select("doc_id", *MEASURES, "quality").distinct()
+    train = _sampled(labelled, max_rows, *MEASURES, "quality").toPandas()
     model = fit(train[list(MEASURES)].to_numpy(float), train["quality"].to_numpy(float))
 
     def run(batches):
@@ -227,10 +227,24 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_r
     return docs.mapInArrow(run, docs.schema)
 
 
+def _sampled(rows: DataFrame, max_rows: int, *order: str) -> DataFrame:
+    """At most ``max_rows`` rows by hash of their id, in order of hash and ``order``.
+
+    The bound on the hash comes from a count, so all partitions together, and not each of them,
+    offer about ``max_rows`` rows to the limit.
+    """
+    rows = saved(rows)
+    bits = 40
+    bound = int((1 << bits) * min(1.0, max_rows / max(rows.count(), 1)))
+    hashed = F.xxhash64("doc_id")
+    return rows.where(F.pmod(hashed, F.lit(1 << bits)) < bound).orderBy(hashed, *order).limit(max_rows)
+
+
 def _training_rows(docs: DataFrame, known: DataFrame, max_rows: int) -> pd.DataFrame:
-    """The first ``max_rows`` labelled rows by hash of their id; their ids, bounded so, are broadcast."""
-    chosen = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).distinct()
-                   .join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows))
+    """The labelled rows of ``_sampled``; their ids, at most ``max_rows``, are broadcast."""
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).distinct().join(known.distinct(), "doc_id")
+    chosen = saved(_sampled(labelled, max_rows, "quality"))
     texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return measured(texts_.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).join(
-        chosen, "doc_id").toPandas()
+    read = measured(texts_.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).join(chosen, "doc_id")
+    # Rows that repeat an id with other texts may be more than were chosen.
+    return read.distinct().orderBy(F.xxhash64("doc_id"), *MEASURES, "quality").limit(max_rows).toPandas()

@@ -46,3 +46,17 @@ def test_odd_tables(spark):
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert quality.keep(docs, labels.limit(0)).columns == docs.columns
     assert quality.scored(docs.limit(0), labels).count() == 0
+
+
+def test_sample_is_bounded_and_in_order(spark):
+    rows = spark.range(30_000).selectExpr("id % 5000 AS doc_id", "id % 2 AS quality").distinct()
+    got = [(r.doc_id, r.quality) for r in quality._sampled(rows, 400, "quality").collect()]
+    assert 300 < len(got) <= 400 and len(set(got)) == len(got)
+    whole = [(r.doc_id, r.quality) for r in quality._sampled(rows, 50_000, "quality").collect()]
+    assert len(whole) == rows.count() and set(got) < set(whole)
+
+
+def test_repeated_ids_do_not_swell_the_fit(spark):
+    docs = spark.createDataFrame([(2, f"text {i}") for i in range(300)] + [(i, f"words {i}") for i in range(3, 40)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, float(i % 2)) for i in range(2, 40)] * 2, "doc_id long, quality double")
+    assert len(quality._training_rows(docs, known, 20)) <= 20
