@@ -26,6 +26,8 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 SLICE_BYTES = 4_000_000
+#: Parts of a length that are ranked apart; the driver gets at most CAPACITY * LOTS counts.
+LOTS = 128
 
 
 @lru_cache(maxsize=2)
@@ -243,25 +245,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
     Null and empty texts are the closing id alone. Repeated rows and null ids are packed as they
     stand, row by row. No row: no sequence. Columns besides doc_id and text are not read.
     """
-    spark = docs.sparkSession
     pieces = saved(tokenized_pieces(docs, capacity, tokenizer))
-    # Pieces of one length are dealt to as many lots as there are shuffle partitions, so a length
-    # that a third of all pieces have is still ranked in parallel.
-    lots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Pieces of one length are dealt to lots, so a length that a third of all pieces have is still
+    # ranked in parallel; what the driver gets is bounded by capacity and lots, not by the cluster.
+    lots = LOTS
     dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)).cast("int"))
-    counts = dealt.groupBy("length", "lot").agg(F.count("*").alias("n")).collect()  # at most capacity * lots rows
-    histogram: dict[int, int] = {}
-    for r in counts:
-        histogram[r.length] = histogram.get(r.length, 0) + r.n
+    counts = dealt.groupBy("length", "lot").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "lot"])
+    histogram = {int(length): int(n) for length, n in counts.groupby("length")["n"].sum().items()}
     plan = plan_table(bin_patterns(histogram, capacity))
-    firsts, seen = {}, {}
-    for r in sorted(counts, key=lambda r: (r.length, r.lot)):
-        firsts[r.length, r.lot] = seen.get(r.length, 0)
-        seen[r.length] = firsts[r.length, r.lot] + r.n
-    codes = np.array([length * lots + lot for length, lot in firsts], dtype=np.int64)
-    starts = np.array(list(firsts.values()), dtype=np.int64)
-    order = np.argsort(codes)
-    codes, starts = codes[order], starts[order]
+    codes = (counts["length"] * lots + counts["lot"]).to_numpy(np.int64)
+    starts = (counts.groupby("length")["n"].cumsum() - counts["n"]).to_numpy(np.int64)
     # One sortable number for (length, rank): ranks are below the number of pieces.
     span = max(histogram.values(), default=0) + 1
     marks = (plan["length"] * span + plan["rank"]).to_numpy(np.int64)
