@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mastwire.functions.numeric import half_even, settled
-from mastwire.operators.geo import nearest, radius_sums
+from mastwire.operators.geo import assign_areas, nearest, polygon_area_m2, radius_sums
+from mastwire.session import materialize
 
 
 def class_shares(pixels: DataFrame, cell: list[str], kind: str, area: str, classes: list) -> DataFrame:
@@ -34,6 +35,45 @@ def largest_per_cell(buildings: DataFrame, cell: list[str], key: str, k: int = 5
     return able.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def interior_point(ring: Column) -> Column:
+    """A point inside a ring of (lon, lat) pairs: the middle of its widest stretch at half its height."""
+    y = (F.array_min(ring["lat"]) + F.array_max(ring["lat"])) / 2
+    following = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    at = F.zip_with(ring, following, lambda a, b: F.when(
+        (a["lat"] > y) != (b["lat"] > y), a["lon"] + (y - a["lat"]) * (b["lon"] - a["lon"]) / (b["lat"] - a["lat"])))
+    crossed = F.array_sort(F.array_compact(at))
+    # Crossings pair up from the left: inside between the first and second, the third and fourth, ...
+    stretches = F.transform(F.sequence(F.lit(1), F.size(crossed), F.lit(2)), lambda i: F.struct(
+        (F.element_at(crossed, i + 1) - F.element_at(crossed, i)).alias("wide"),
+        ((F.element_at(crossed, i + 1) + F.element_at(crossed, i)) / 2).alias("lon"), y.alias("lat")))
+    return F.when(F.size(crossed) >= 2, F.array_max(stretches))
+
+
+def shortlisted_footprints(
+    buildings: DataFrame, areas: DataFrame, edges: DataFrame, step: float, k: int = 5, min_m2: float = 150.0
+) -> DataFrame:
+    """The k largest footprints of each area, every footprint once and in one area only.
+
+    Buildings are (source, line, ring), areas (area, priority), edges the areas' outlines. A
+    footprint is known by a digest of its corners (1e-7 degrees), so copies from other sources go
+    and the first by source and line stays. It belongs to the area of the smallest priority that
+    holds its interior point, so areas may overlap and no footprint counts twice. Footprints
+    outside all areas, below ``min_m2``, or with a missing or flat outline are not listed; the
+    rank limit is applied before the shuffle.
+    """
+    corners = F.transform("ring", lambda p: F.concat_ws(" ", *[F.round(p[c] * 1e7).cast("bigint").cast("string") for c in ("lon", "lat")]))
+    solid = buildings.where(F.col("ring").isNotNull() & (F.size("ring") >= 3)).withColumn("area_m2", polygon_area_m2(F.col("ring")))
+    solid = solid.where(F.col("area_m2") >= min_m2).withColumns(
+        {"building_id": F.substring(F.sha2(F.array_join(corners, ","), 256), 1, 20), "_at": interior_point(F.col("ring"))}
+    ).where(F.col("_at").isNotNull())
+    once = solid.groupBy("building_id").agg(F.min(F.struct("source", "line", "area_m2", F.col("_at.lon").alias("lon"), F.col("_at.lat").alias("lat"))).alias("b"))
+    once = materialize(once.select("building_id", "b.*"))
+    ranked = edges.join(areas.select("area", "priority"), "area").withColumn("area", F.struct("priority", "area"))
+    inside = once.join(assign_areas(once, ranked, step), ["lon", "lat"]).select(
+        "building_id", "source", "line", "area_m2", "lon", "lat", "area.area", "area.priority")
+    return largest_per_cell(inside, ["area"], "building_id", k, min_m2)
+
+
 def category_counts(rows: DataFrame, cell: list[str], rules: dict[str, Column]) -> DataFrame:
     """Rows per cell and per category; a row may belong to several categories."""
     return rows.groupBy(*cell).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in rules.items()])

@@ -226,6 +226,12 @@ VIEWS["v_area_edges"] = """
                      32.63 + floor(n_nationkey / 5) * CAST(0.07 AS DOUBLE) AS y
               FROM {nation} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS v(i)) AS centres"""
 
+# A rectangle for each customer; a second source repeats a seventh of them.
+VIEWS["v_buildings"] = """
+        SELECT v.source, candidate_id AS line, lon - d AS w, lat - d AS s, lon + d AS e, lat + d * CAST(0.8 AS DOUBLE) AS n
+        FROM (SELECT *, sqrt(abs(balance)) / CAST(200000 AS DOUBLE) AS d FROM {v_candidates}) AS c
+        CROSS JOIN (VALUES ('a'), ('b')) AS v(source) WHERE v.source = 'a' OR candidate_id % 7 = 0"""
+
 VIEWS["v_cells"] = """
         SELECT event_id, CASE event_type WHEN 'view' THEN 'LTE' WHEN 'click' THEN 'UMTS' WHEN 'purchase' THEN 'GSM'
                     WHEN 'signup' THEN 'NR' ELSE 'WIFI' END AS radio,

@@ -100,6 +100,31 @@ def largest_footprints(spark, sf):
     return S.largest_per_cell(rows, ["area"], "candidate_id").select("candidate_id", "area", "rank")
 
 
+CORNER = "CAST(CAST(round({x} * 1e7) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(round({y} * 1e7) AS BIGINT) AS VARCHAR)"
+
+
+@query(
+    "shortlisted_footprints",
+    f"""WITH m AS (SELECT *, (e - w) * cos(radians(s)) * k * (n - s) * k AS area_m2, (w + e) / 2 AS lon, (s + n) / 2 AS lat,
+          substr(sha256({" || ',' || ".join(CORNER.format(x=x, y=y) for x, y in ("ws", "es", "en", "wn"))}), 1, 20) AS building_id
+          FROM {{v_buildings}} CROSS JOIN (SELECT 6371008.8 * pi() / 180 AS k)),
+        o AS (SELECT * FROM m WHERE area_m2 >= 150 QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY source, line) = 1),
+        x AS (SELECT o.building_id, o.source, o.line, o.area_m2, a.area, (a.area * 3) % 25 AS priority,
+            count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / nullif(y2 - y1, 0)) AS crossed
+          FROM o CROSS JOIN {{v_area_edges}} a GROUP BY ALL),
+        f AS (SELECT * FROM x WHERE crossed % 2 = 1 QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY priority) = 1)
+       SELECT building_id, source, line, area, priority, round(area_m2, 3) AS area_m2, CAST(row_number() OVER (PARTITION BY area ORDER BY area_m2 DESC, building_id) AS INT) AS rank
+       FROM f QUALIFY rank <= 5""",
+)
+def shortlisted_footprints(spark, sf):
+    point = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
+    ring = F.array(point("w", "s"), point("e", "s"), point("e", "n"), point("w", "n"))
+    edges = view(spark, sf, "v_area_edges")
+    areas = edges.select("area").distinct().withColumn("priority", F.col("area") * 3 % 25)
+    out = S.shortlisted_footprints(view(spark, sf, "v_buildings").select("source", "line", ring.alias("ring")), areas, edges, 0.1)
+    return rounded(out.drop("lon", "lat"), "area_m2", digits=3)
+
+
 @query(
     "service_family_distances",
     f"""SELECT c.site_id, round(min({CS}) FILTER (segment = 'BUILDING'), 3) AS dist_building_m, round(min({CS}) FILTER (segment = 'MACHINERY'), 3) AS dist_machinery_m

@@ -52,3 +52,15 @@ def test_files_of_one_name_are_told_apart(spark, tmp_path):
         [("a/f.csv", hashlib.sha256(b"x").hexdigest(), "g", True), ("b/f.csv", hashlib.sha256(b"x").hexdigest(), "g", True)],
         "file string, sha256 string, group string, required boolean")
     assert {r.file: r.state for r in readers.source_checks(spark, str(tmp_path), lock).collect()} == {"a/f.csv": "ok", "b/f.csv": "changed"}
+
+
+def test_trees_on_residuals_win_where_the_line_cannot_follow(spark):
+    shape = lambda i: 40.0 if i % 7 in (5, 6) and i % 28 < 14 else 10.0 + (i * 37 % 11) / 10
+    rows = [("steps", dt.date(2024, 1, 1) + dt.timedelta(i), shape(i)) for i in range(400)] + days(400, "plain")
+    panel = spark.createDataFrame(rows, "series string, date date, value double")
+    best = {r.series: r for r in D.select_champions(panel, ["series"], "date", "value", F.lit(False)).collect()}
+    for r in best.values():
+        assert None not in (r.ridge_validation_mase, r.hybrid_validation_mase, r.weekday_medians_validation_mase)
+        if r.champion != "weekday_medians":
+            assert r.validation_mase == min(r.ridge_validation_mase, r.hybrid_validation_mase) <= 1
+    assert best["steps"].hybrid_validation_mase < best["steps"].ridge_validation_mase
