@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mastwire.functions.numeric import clip, half_even
@@ -110,8 +110,9 @@ def offload_plan(scored: DataFrame) -> DataFrame:
     """Recommended handover offsets: congested towers to neighbours with headroom.
 
     Headroom is shared only inside a cluster on one day, so that pair is the whole unit of
-    work: at most one row per tower of the cluster. Only donors and acceptors travel, and
-    only those of a cluster-day that has both.
+    work: at most one row per tower of the cluster. Only donors and acceptors travel, once;
+    a cluster-day without both passes by without a result. In a large cluster-day the task
+    streams its rows and keeps the acceptors with headroom left, a few numbers each.
     """
     donor = F.col("category").isin(*CONGESTED)
     acceptor = (
@@ -127,15 +128,11 @@ def offload_plan(scored: DataFrame) -> DataFrame:
     needed = active.select(
         "date", "cluster", "tower", "category", "risk", "users", "download", "headroom", "is_donor", "is_acceptor"
     )
-    unit = Window.partitionBy("date", "cluster")
-    paired = needed.withColumns(
-        {"_donors": F.max("is_donor").over(unit), "_acceptors": F.max("is_acceptor").over(unit)}
-    ).where(F.col("_donors") & F.col("_acceptors"))
     tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = paired.repartition(tasks, "date", "cluster").sortWithinPartitions(
+    ordered = needed.repartition(tasks, "date", "cluster").sortWithinPartitions(
         "date", "cluster", F.col("is_acceptor").desc(), F.col("risk").desc(), "download", "tower"
     )
-    plan = ordered.drop("_donors", "_acceptors").mapInPandas(_steer, OFFLOAD_SCHEMA)
+    plan = ordered.mapInPandas(_steer, OFFLOAD_SCHEMA)
     shifted, users, speed = F.col("shifted"), F.col("donor_users"), F.col("donor_speed")
     step = F.when(shifted >= 10, 3).when(shifted >= 6, 2).otherwise(1)
     after = half_even(speed * (users / F.greatest(users - shifted, F.lit(1.0))), 2)
