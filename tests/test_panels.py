@@ -128,3 +128,13 @@ def test_bounds_sla_and_band_names(spark):
         N.sla_met(F.col("kpi"), F.col("value")).alias("ok"),
     ).collect()
     assert [tuple(r) for r in out] == [(3500, 100.0, False), (3500, 0.0, True), (400, 0.5, True), (350, 7.0, True)]
+
+
+def test_means_on_a_target_do_not_hang_on_the_order_of_their_readings(spark):
+    values = [99.815, 99.83, 99.25, 99.17, 99.23, 99.75, 99.185, 99.77, 99.53, 99.67, 99.47, 99.33]  # their sum in this order falls a hair short of the target
+    columns = ("rrc_setup_sr", "erab_estab_sr", "erab_drop_rate", "handover_sr", "availability_pct", "dl_throughput_mbps", "ul_throughput_mbps", "connected_users")
+    rows = [("T", day(150 + i), v, *([50.0] * (len(columns) - 1))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "tower string, date date, " + ", ".join(f"{c} double" for c in columns)).coalesce(1)
+    profile = N.tower_profile(df).first()
+    assert profile["rrc_setup_sr_mean"] < 99.5 and not profile["sla_rrc_violation"]
+    assert N.health_stats(N.tower_profile(df)).first()["rrc_breaches"] == 0
