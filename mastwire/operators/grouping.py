@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mastwire.operators.geo import EARTH_M, _max_lat, _steps, haversine
@@ -21,6 +21,8 @@ from mastwire.session import materialize
 #: A crowded cell is cut into this many parts a side, so no cell has more than the square of it.
 PARTS = 16
 NAME = ["name"]
+#: Bits of an atom's name that come from the hash of its key.
+HASH_BITS = 48
 
 
 def _atoms(places: DataFrame, limit_m: float, max_lat: float) -> DataFrame:
@@ -37,16 +39,19 @@ def _atoms(places: DataFrame, limit_m: float, max_lat: float) -> DataFrame:
 
 
 def _summed(atoms: DataFrame) -> DataFrame:
-    """One row for each atom: its name (smallest key and corner), centre, radius and rows.
+    """One row for each atom: its name, centre, radius and rows.
 
-    Names are ordered by a hash of the key, in no spatial order.
+    A name is one number, a hash of the smallest key (48 bits) in no spatial order; atoms of one hash are told
+    apart by the bits above, in the order of their key and corner.
     """
     box = atoms.groupBy("cx", "cy", "atom").agg(
         F.min("first").alias("k"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"),
         F.sum("rows").alias("rows"))
     lon, lat = (F.col("w") + F.col("e")) / 2, (F.col("s") + F.col("n")) / 2
     reach = F.when(F.col("atom.crowd"), haversine(lon, lat, F.col("w"), F.col("s")) * 1.001 + 0.001).otherwise(0.0)
-    return box.select("cx", "cy", "atom", F.struct(_words(F.col("k")).cast("long").alias("h"), "k", "w", "s").alias("name"), lon.alias("lon"), lat.alias("lat"), reach.alias("reach"), "rows")
+    box = box.withColumn("h", _words(F.col("k")).cast("long"))
+    twin = F.row_number().over(Window.partitionBy("h").orderBy("k", "w", "s")) - 1
+    return box.select("cx", "cy", "atom", (F.col("h") + F.shiftleft(twin.cast("long"), HASH_BITS)).alias("name"), lon.alias("lon"), lat.alias("lat"), reach.alias("reach"), "rows")
 
 
 def _near_pairs(atoms: DataFrame, limit_m: float) -> DataFrame:
@@ -60,18 +65,23 @@ def _near_pairs(atoms: DataFrame, limit_m: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).where(F.col("a") < F.col("b")).select("a", "b", gap.alias("d")).where(F.col("d") <= limit_m)
 
 
-def _merged(names: DataFrame, pairs: DataFrame, step_m: float) -> DataFrame:
+def _merged(names: DataFrame, pairs: DataFrame, limit_m: float, step_m: float) -> DataFrame:
     """(name, group) by complete linkage over the pairs within the limit."""
-    # Of equally close pairs a mix of both names decides, which no chain of neighbours follows.
-    order = F.struct(
-        F.floor(F.col("d") / step_m).alias("step"), F.col("a.h").bitwiseXOR(F.col("b.h")).alias("mix"), F.col("a").alias("a"), F.col("b").alias("b"))
+    # Of equally close pairs a mix of both names decides, which no chain of neighbours follows. Given one end, step and
+    # mix name the other, so an end's closest pair is the least of one number and never sorted.
+    rank = F.floor(F.col("d") / step_m).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("a").bitwiseXOR(F.col("b")).cast("decimal(19,0)")
+    mix = F.pmod("rank", F.lit(2**62).cast("decimal(19,0)")).cast("long")
+    if step_m * 2**14 > limit_m and not names.where(F.shiftright("name", HASH_BITS) > 0).take(1):
+        rank = F.shiftleft(F.floor(F.col("d") / step_m).cast("long"), HASH_BITS).bitwiseOR(F.col("a").bitwiseXOR(F.col("b")))
+        mix = F.col("rank").bitwiseAND(F.lit(2**HASH_BITS - 1))
     pairs = materialize(pairs)
     labels = names.select("name", F.col("name").alias("group"))
     while pairs.take(1):
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), order.alias("pair"))
-        closest = ends.groupBy("end").agg(F.min("pair").alias("pair"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), rank.alias("rank"))
+        closest = ends.groupBy("end").agg(F.min("rank").alias("rank")).select("end", F.col("end").bitwiseXOR(mix).alias("other"))
         joined = materialize(
-            closest.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select(F.col("pair.a").alias("into"), F.col("pair.b").alias("gone")))
+            closest.groupBy(F.least("end", "other").alias("into"), F.greatest("end", "other").alias("gone")).agg(F.count("*").alias("n"))
+            .where("n = 2").select("into", "gone"))
         moved = joined.select(F.explode(F.array(
             F.struct(F.col("into").alias("old"), "into"), F.struct(F.col("gone").alias("old"), "into"))).alias("m")).select("m.*")
         labels = labels.join(joined.select(F.col("gone").alias("group"), "into"), "group", "left").select(
@@ -112,7 +122,7 @@ def bounded_groups(points: DataFrame, key: str, limit_m: float, step_m: float |
     places = points.groupBy("lon", "lat").agg(F.min(key).alias("first"), F.count("*").alias("rows"), F.sum(_words(F.col(key))).alias("words"))
     places = materialize(_atoms(places, limit_m, _max_lat(places)))
     atoms = materialize(_summed(places))
-    labels = atoms.join(_merged(atoms, _near_pairs(atoms, limit_m), step_m or limit_m / 50), NAME)
+    labels = atoms.join(_merged(atoms, _near_pairs(atoms, limit_m), limit_m, step_m or limit_m / 50), NAME)
     placed = materialize(places.join(labels.select("cx", "cy", "atom", "group"), ["cx", "cy", "atom"]).drop("cx", "cy", "atom"))
 
     centres = labels.select("group", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "reach", F.col("rows").alias("weight"))

@@ -96,3 +96,24 @@ def test_review_prefers_one_verified_latest_alternative(spark):
     assert got.keys() == {"good", "older", "two", "odd", "late"}
     assert got["good"].preferred_alternative == 1 and got["good"].spread_m == pytest.approx(distance((13, 32), (13.5, 32)))
     assert all(got[k].status == "unresolved" and got[k].preferred_alternative is None for k in ("older", "two", "odd", "late"))
+
+
+def test_closest_pairs_are_found_without_a_sort(spark, monkeypatch):
+    """Names were four columns wide and the closest pair of each a sorted minimum: tens of millions of pairs took an hour."""
+    rows = [(i, 13 + i * 0.00011, 32.5 + i % 3 * 0.0001) for i in range(60)]
+    plans = []
+    kept = G.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return kept(df)
+
+    monkeypatch.setattr(G, "materialize", noted)
+    points = spark.createDataFrame(rows, "id long, lon double, lat double")
+    _, groups = G.bounded_groups(points, "id", 50.0)
+    found = sorted(r.group_id for r in groups.collect())
+    closest = [p for p in plans if "n#" in p and "rank" in p]
+    assert closest and not any("SortAggregate" in p for p in closest)
+    # Hashes that collide are told apart, and the wider rank gives the same groups.
+    monkeypatch.setattr(G, "HASH_BITS", 0)
+    assert sorted(r.group_id for r in G.bounded_groups(points, "id", 50.0)[1].collect()) == found
