@@ -6,11 +6,12 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mastwire.functions.numeric import clip, half_even
 from mastwire.functions.text import name_letters
+from mastwire.session import materialize
 
 MIN_CAPACITY = 15.0
 CONGESTED = ("CRITICAL", "HIGH")
@@ -25,6 +26,12 @@ def capacity_ceilings(history: DataFrame) -> DataFrame:
     return history.groupBy("tower").agg(F.greatest(peak, F.lit(MIN_CAPACITY)).alias("capacity_95th"))
 
 
+def with_own_ceiling(history: DataFrame) -> DataFrame:
+    """The same ceiling beside every day of the tower, so that the history is read once."""
+    peak = F.percentile("users", F.lit(0.95)).over(Window.partitionBy("tower"))
+    return history.withColumn("capacity_95th", F.greatest(peak, F.lit(MIN_CAPACITY)))
+
+
 def congestion_tier(risk: Column, download: Column) -> Column:
     return (
         F.when((risk >= 80.0) & (download < 5.0), "CRITICAL")
@@ -34,19 +41,26 @@ def congestion_tier(risk: Column, download: Column) -> Column:
     )
 
 
-def congestion_scores(forecast: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Load, headroom, a 0-100 congestion risk and its tier for every tower and day."""
-    out = forecast.join(capacity, "tower", "left")
+def _opened(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once, wherever they are used afterwards."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def congestion_scores(forecast: DataFrame, capacity: DataFrame | None = None) -> DataFrame:
+    """Load, headroom, a 0-100 congestion risk and its tier for every tower and day.
+
+    Without `capacity` the rows bring their ceiling in `capacity_95th`. Load and risk are opened from
+    an array: as plain columns their roundings would be repeated in every later condition on the tier.
+    """
+    out = forecast if capacity is None else forecast.join(capacity, "tower", "left")
     users, cap = F.col("users"), F.col("capacity_95th")
-    out = out.withColumns(
-        {"load_factor": half_even(users / cap, 3), "headroom": half_even(cap - users, 2)}
-    )
+    out = _opened(out, {"load_factor": half_even(users / cap, 3), "headroom": half_even(cap - users, 2)})
     risk = (
         0.50 * clip(F.col("load_factor") * 100.0, 0, 100)
         + 0.40 * clip((15.0 - F.col("download")) / 15.0 * 100.0, 0, 100)
         + 0.10 * clip(F.col("drop_rate") / 2.0 * 100.0, 0, 100)
     )
-    out = out.withColumn("risk", half_even(risk, 1))
+    out = _opened(out, {"risk": half_even(risk, 1)})
     return out.withColumn("category", congestion_tier(F.col("risk"), F.col("download")))
 
 
@@ -150,7 +164,11 @@ def offload_plan(scored: DataFrame) -> DataFrame:
 
 
 def steering_summary(alerts: DataFrame, plan: DataFrame) -> DataFrame:
-    """Window bounds, alerted towers and counts by tier and priority, overall and latest day."""
+    """Window bounds, alerted towers and counts by tier and priority, overall and latest day.
+
+    The alerts are read several times, so they are kept; the plan is counted in one pass.
+    """
+    alerts = materialize(alerts.select("date", "tower", "category"))
     latest = alerts.agg(F.max("date")).scalar()
     side = alerts.withColumn("_today", F.col("date") == latest).agg(
         F.min("date").alias("window_start"),
@@ -163,15 +181,11 @@ def steering_summary(alerts: DataFrame, plan: DataFrame) -> DataFrame:
         ],
     )
     counts = plan.withColumn("_today", F.col("date") == latest).agg(
-        *[F.count_if(F.col("priority") == p).alias(p) for p in ("HIGH", "MEDIUM", "LOW")],
-        F.count_if("_today").alias("latest"),
-    )
-    return side.withColumns(
-        {
-            **{f"plans_{p.lower()}": counts.select(p).scalar() for p in ("HIGH", "MEDIUM", "LOW")},
-            "latest_plans": counts.select("latest").scalar(),
-        }
+        *[F.count_if(F.col("priority") == p).alias(f"plans_{p.lower()}") for p in ("HIGH", "MEDIUM", "LOW")],
+        F.count_if("_today").alias("latest_plans"),
     )
+    # One row on each side.
+    return side.crossJoin(counts)
 
 
 def latest_recommendations(rows: DataFrame, priority: str | None = None, limit: int = 100) -> DataFrame:

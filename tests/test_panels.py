@@ -180,3 +180,18 @@ def test_marks_are_kept_only_for_features_that_miss(spark):
     rows, features = D.with_found_gaps_marked(df, ["x", "y"])
     assert features == ["x", "y", "x_missing"]
     assert sorted((r["x"], r["y"], r["x_missing"]) for r in rows.collect()) == [(0.0, 3.0, 1.0), (1.0, 2.0, 0.0)]
+
+
+def test_steering_computes_a_score_once_and_reads_the_panel_once(spark):
+    from mastwire.plans import network as W
+
+    rows = [("a", day(i), float(10 + i), 4.0, 1.0, 99.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "tower string, date date, users double, download double, drop_rate double, availability double")
+    joined = S.congestion_scores(df, S.capacity_ceilings(df)).collect()
+    alone = S.congestion_scores(S.with_own_ceiling(df)).collect()
+    key = lambda r: r["date"]
+    names = ("tower", "capacity_95th", "load_factor", "headroom", "risk", "category")
+    assert [[r[n] for n in names] for r in sorted(joined, key=key)] == [[r[n] for n in names] for r in sorted(alone, key=key)]
+    plan = S.offload_plan(W.scored(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bround") <= 6  # three figures of the scores, once each, and those of the plan itself
+    assert plan.count("l_extendedprice#") and plan.count("Relation [l_orderkey") == 1
