@@ -195,3 +195,17 @@ def test_steering_computes_a_score_once_and_reads_the_panel_once(spark):
     plan = S.offload_plan(W.scored(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("bround") <= 6  # three figures of the scores, once each, and those of the plan itself
     assert plan.count("l_extendedprice#") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_clusters_compute_their_input_once(spark):
+    from mastwire.operators import models as D
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.range(50).selectExpr("id * 1.0D AS x", "id % 7 * 1.0D AS y").mapInPandas(counted, "x double, y double")
+    assert D.standardized(df, ["x", "y"]).count() == 50 and read.value == 50
