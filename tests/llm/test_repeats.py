@@ -78,3 +78,22 @@ def test_stretches_give_every_string_the_same_anchor(monkeypatch):
     assert places() == whole
     assert len(whole) == sum(max(0, e - s - 63) for s, e in zip(part.starts, part.ends, strict=True))
     assert all(p <= a < p + shape.window for (_, p), a in whole.items())
+
+
+def test_only_texts_that_a_round_needs_are_joined(spark, monkeypatch):
+    rows = corpus(6, 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, passing, passed = brute(rows, 64), repeats.passing, []
+
+    def counted(df, column, bits):
+        out = passing(df, column, bits)
+        passed.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "passing", counted)
+    assert sorted((tuple(r)[:5] for r in repeats.removed(docs, 64).collect()), key=str) == want
+    assert passed[-1] == sum(r[2] > 0 for r in want) < len(rows) and all(n < len(rows) for n in passed)
+    # A filter that is full lets every row through and changes no result.
+    monkeypatch.setattr(repeats, "marked", lambda hashes: np.full((1 << 26) // 8, 255, np.uint8))
+    assert sorted((tuple(r)[:5] for r in repeats.removed(docs, 64).collect()), key=str) == want
+    assert passed[-1] == len(rows)
