@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
     return F.when(value.isNotNull(), out)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often the expression names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mastwire.functions.numeric import half_even, settled
-from mastwire.operators.geo import assign_areas, nearest, polygon_area_m2, radius_sums
+from mastwire.functions.numeric import half_even, once, settled
+from mastwire.operators.geo import assign_areas, nearest, polygon_area_m2, radius_sums, tasks
 from mastwire.session import materialize
 
 
@@ -37,16 +37,24 @@ def largest_per_cell(buildings: DataFrame, cell: list[str], key: str, k: int = 5
 
 def interior_point(ring: Column) -> Column:
     """A point inside a ring of (lon, lat) pairs: the middle of its widest stretch at half its height."""
-    y = (F.array_min(ring["lat"]) + F.array_max(ring["lat"])) / 2
-    following = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-    at = F.zip_with(ring, following, lambda a, b: F.when(
-        (a["lat"] > y) != (b["lat"] > y), a["lon"] + (y - a["lat"]) * (b["lon"] - a["lon"]) / (b["lat"] - a["lat"])))
-    crossed = F.array_sort(F.array_compact(at))
-    # Crossings pair up from the left: inside between the first and second, the third and fourth, ...
-    stretches = F.transform(F.sequence(F.lit(1), F.size(crossed), F.lit(2)), lambda i: F.struct(
-        (F.element_at(crossed, i + 1) - F.element_at(crossed, i)).alias("wide"),
-        ((F.element_at(crossed, i + 1) + F.element_at(crossed, i)) / 2).alias("lon"), y.alias("lat")))
-    return F.when(F.size(crossed) >= 2, F.array_max(stretches))
+
+    def crossings(r: Column, y: Column) -> Column:
+        following = F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
+        at = F.zip_with(r, following, lambda a, b: F.when(
+            (a["lat"] > y) != (b["lat"] > y), a["lon"] + (y - a["lat"]) * (b["lon"] - a["lon"]) / (b["lat"] - a["lat"])))
+        return F.array_sort(F.array_compact(at))
+
+    def widest(crossed: Column, y: Column) -> Column:
+        # Crossings pair up from the left: inside between the first and second, the third and fourth, ...
+        stretches = F.transform(F.sequence(F.lit(1), F.size(crossed), F.lit(2)), lambda i: F.struct(
+            (F.element_at(crossed, i + 1) - F.element_at(crossed, i)).alias("wide"),
+            ((F.element_at(crossed, i + 1) + F.element_at(crossed, i)) / 2).alias("lon"), y.alias("lat")))
+        return F.when(F.size(crossed) >= 2, F.array_max(stretches))
+
+    def inside(r: Column) -> Column:
+        return once((F.array_min(r["lat"]) + F.array_max(r["lat"])) / 2, lambda y: once(crossings(r, y), lambda c: widest(c, y)))
+
+    return once(ring, inside)
 
 
 def shortlisted_footprints(
@@ -62,14 +70,17 @@ def shortlisted_footprints(
     rank limit is applied before the shuffle.
     """
     corners = F.transform("ring", lambda p: F.concat_ws(" ", *[F.round(p[c] * 1e7).cast("bigint").cast("string") for c in ("lon", "lat")]))
-    solid = buildings.where(F.col("ring").isNotNull() & (F.size("ring") >= 3)).withColumn("area_m2", polygon_area_m2(F.col("ring")))
-    solid = solid.where(F.col("area_m2") >= min_m2).withColumns(
-        {"building_id": F.substring(F.sha2(F.array_join(corners, ","), 256), 1, 20), "_at": interior_point(F.col("ring"))}
-    ).where(F.col("_at").isNotNull())
-    once = solid.groupBy("building_id").agg(F.min(F.struct("source", "line", "area_m2", F.col("_at.lon").alias("lon"), F.col("_at.lat").alias("lat"))).alias("b"))
-    once = materialize(once.select("building_id", "b.*"))
+    # Outlines are dealt out before the work on them: a file of short rows is read by few tasks.
+    rings = buildings.where(F.col("ring").isNotNull() & (F.size("ring") >= 3)).repartition(tasks(buildings), "source", "line")
+    figures = F.struct(polygon_area_m2(F.col("ring")).alias("area_m2"), interior_point(F.col("ring")).alias("_at"))
+    # Opened from an array, the figures are computed once; as conditions they would move below the shuffle.
+    large = F.explode(F.filter(F.array(figures), lambda f: (f["area_m2"] >= min_m2) & f["_at"].isNotNull()))
+    solid = rings.select("source", "line", "ring", large.alias("f")).select(
+        "source", "line", "f.*", F.substring(F.sha2(F.array_join(corners, ","), 256), 1, 20).alias("building_id"))
+    distinct = solid.groupBy("building_id").agg(F.min(F.struct("source", "line", "area_m2", F.col("_at.lon").alias("lon"), F.col("_at.lat").alias("lat"))).alias("b"))
+    distinct = materialize(distinct.select("building_id", "b.*"))
     ranked = edges.join(areas.select("area", "priority"), "area").withColumn("area", F.struct("priority", "area"))
-    inside = once.join(assign_areas(once, ranked, step), ["lon", "lat"]).select(
+    inside = distinct.join(assign_areas(distinct, ranked, step), ["lon", "lat"]).select(
         "building_id", "source", "line", "area_m2", "lon", "lat", "area.area", "area.priority")
     return largest_per_cell(inside, ["area"], "building_id", k, min_m2)
 

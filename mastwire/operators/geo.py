@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mastwire.functions.numeric import once
 from mastwire.session import materialize
 
 EARTH_M = 6_371_008.8
@@ -396,13 +397,19 @@ def assign_areas(points: DataFrame, edges: DataFrame, step: float) -> DataFrame:
 def polygon_area_m2(ring: Column) -> Column:
     """Shoelace area of a ring of (lon, lat) pairs in local metres around its first vertex."""
     k = METRES_PER_DEGREE
-    lon0, lat0 = ring[0]["lon"], ring[0]["lat"]
-    flat = F.transform(
-        ring, lambda p: F.struct(((p["lon"] - lon0) * F.cos(F.radians(lat0)) * k).alias("x"), ((p["lat"] - lat0) * k).alias("y"))
-    )
-    nxt = F.concat(F.slice(flat, 2, F.size(flat) - 1), F.slice(flat, 1, 1))
-    terms = F.zip_with(flat, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
+
+    def flat(r: Column) -> Column:
+        lon0, lat0 = r[0]["lon"], r[0]["lat"]
+        return F.transform(
+            r, lambda p: F.struct(((p["lon"] - lon0) * F.cos(F.radians(lat0)) * k).alias("x"), ((p["lat"] - lat0) * k).alias("y"))
+        )
+
+    def area(corners: Column) -> Column:
+        nxt = F.concat(F.slice(corners, 2, F.size(corners) - 1), F.slice(corners, 1, 1))
+        terms = F.zip_with(corners, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
+
+    return once(ring, lambda r: once(flat(r), area))
 
 
 def terrain(pixels: DataFrame, cell_m: float) -> DataFrame:

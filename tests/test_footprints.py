@@ -48,3 +48,11 @@ def test_footprints_count_once_in_the_first_of_overlapping_areas(spark):
             want.setdefault(min(held, key=priority.get), []).append((-side, i))
     assert {(r.area, r["rank"], r.line) for r in got} == {(a, n + 1, i) for a, found in want.items() for n, (_, i) in enumerate(sorted(found)[:5])}
     assert len({r.building_id for r in got}) == len(got) and {r.area for r in got} == {1, 2}
+
+
+def test_figures_of_an_outline_are_computed_once(spark):
+    from mastwire.operators.geo import polygon_area_m2
+
+    df = spark.createDataFrame([], f"ring {RING}").select(S.interior_point(F.col("ring")).alias("p"), polygon_area_m2(F.col("ring")).alias("a"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_min(") == plan.count("array_max(") - 1 == plan.count("array_sort(") == plan.count("COS(") == 1
