@@ -48,20 +48,26 @@ def attributed(radios: DataFrame, rules: NetworkRules) -> DataFrame:
     names = list(dict.fromkeys(rules.codes.values()))
     stated = F.when(F.col("stated").isin(*names), F.col("stated"))
     coded = _first([(F.col("mnc") == code, name) for code, name in rules.codes.items()])
-    rows = materialize(radios.withColumns({"_stated": stated, "_coded": coded, "_sure": F.coalesce("confirmed", F.lit(False))}))
-    places = rows.where("NOT _sure AND _stated IS NULL AND _coded IS NULL AND lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct()
-    donors = rows.where("lon IS NOT NULL AND lat IS NOT NULL")
+    rows = radios.withColumns({"_stated": stated, "_coded": coded, "_sure": F.coalesce("confirmed", F.lit(False))}).withColumn(
+        "_open", F.expr("NOT _sure AND _stated IS NULL AND _coded IS NULL AND lon IS NOT NULL AND lat IS NOT NULL"))
+    # Places are kept, not rows: which are open, and for which networks their rows speak.
+    # A row can speak for two networks, one stated and one coded.
+    says = [F.coalesce((F.col("_stated") == name) | (F.col("_coded") == name), F.lit(False)) for name in names]
+    spots = materialize(rows.where("lon IS NOT NULL AND lat IS NOT NULL").groupBy("lon", "lat").agg(
+        F.bool_or("_open").alias("_open"), *[F.bool_or(c).alias(f"_own{i}") for i, c in enumerate(says)]))
+    places = spots.where("_open").select("lon", "lat")
     found = places
-    for i, name in enumerate(names):
-        # A row can speak for two networks, one stated and one coded.
-        own = donors.where((F.col("_stated") == name) | (F.col("_coded") == name)).select("lon", "lat")
-        hit = nearest(places, own, within_m=rules.within_m)
+    for i in range(len(names)):
+        hit = nearest(places, spots.where(f"_own{i}").select("lon", "lat"), within_m=rules.within_m)
         found = found.join(hit.withColumnRenamed("distance_m", f"_d{i}"), ["lon", "lat"], "left")
     gaps = [F.when(F.col(f"_d{i}") < rules.within_m, F.col(f"_d{i}")) for i in range(len(names))]
     low = F.array_min(F.array(*gaps))
     alone = F.size(F.filter(F.array(*gaps), lambda d: d == low)) == 1
     beside = F.when(low.isNotNull() & alone, _first([(g == low, n) for g, n in zip(gaps, names, strict=True)]))
-    rows = rows.join(found.select("lon", "lat", beside.alias("_beside")), ["lon", "lat"], "left")
+    found = found.select("lon", "lat", beside.alias("_beside")).where("_beside IS NOT NULL")
+    # The other rows are decided without a neighbour and are not shuffled.
+    sided = rows.where("_open").join(found, ["lon", "lat"], "left")
+    rows = sided.unionByName(rows.where("NOT _open").withColumn("_beside", F.lit(None).cast("string")))
 
     region = _first([(F.trim("region_id").isin(*codes), name) for name, codes in rules.regions.items()])
     channel = _first([(F.arrays_overlap("channels", F.array(*[F.lit(c) for c in listed])), name) for name, listed in rules.channels.items()])
@@ -71,4 +77,4 @@ def attributed(radios: DataFrame, rules: NetworkRules) -> DataFrame:
     }
     code = _first([(F.col("network") == name, c) for c, name in rules.codes.items()])
     return (rows.withColumns({"network": F.coalesce(*evidence.values()), "method": F.coalesce(*[F.when(c.isNotNull(), m) for m, c in evidence.items()])})
-            .withColumn("mnc", code).drop("_stated", "_coded", "_sure", "_beside"))
+            .withColumn("mnc", code).drop("_stated", "_coded", "_sure", "_open", "_beside"))

@@ -216,8 +216,10 @@ def nearest(
         settled = closest if whole else closest.where(F.col("hit.distance_m") <= radius)
         settled = materialize(settled.select("lon", "lat", "hit.*"))
         found = settled if found is None else found.unionByName(settled)
+        if whole or within_m:
+            break
         open_points = materialize(open_points.join(settled, ["lon", "lat"], "left_anti"))
-        if whole or within_m or not open_points.take(1):
+        if not open_points.take(1):
             break
         radius *= 4
     if keep == ["site"]:

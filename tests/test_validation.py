@@ -132,3 +132,23 @@ def test_attribution_follows_the_evidence_in_order(spark):
             "channel": (a, "channel"), "rest": (a, "default"), "nowhere": (b, "region")}
     assert got == {k: (n, method, c) for k, ((n, c), method) in want.items()}
     assert A.attributed(df.limit(0), rules).count() == 0
+
+
+def test_attribution_keeps_places_not_rows(spark, monkeypatch):
+    from mastwire.operators import geo
+
+    kept = []
+
+    def recorded(df):
+        kept.append((tuple(df.columns), df.count()))
+        return df
+
+    monkeypatch.setattr(A, "materialize", recorded)
+    monkeypatch.setattr(geo, "materialize", recorded)
+    rows = [(i, 13.0, 32.0 + i % 3 * 1e-4, "1" if i % 3 == 0 else None, None, None, None, False) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, lon double, lat double, mnc string, stated string, region_id string, channels array<int>, confirmed boolean")
+    got = A.attributed(df, A.NetworkRules({"0": "network_a", "1": "network_b"}, "network_b", default="network_a"))
+    assert sorted((r.id, r.network, r.method) for r in got.collect()) == [
+        (i, "network_b", "nearby_site" if i % 3 else "code") for i in range(30)]
+    # One row a place, and after the only round no places are sought again: two tables at most for each network with a place.
+    assert all("id" not in columns and n <= 3 for columns, n in kept) and len(kept) <= 4
