@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -209,3 +210,14 @@ def test_clusters_compute_their_input_once(spark):
 
     df = spark.range(50).selectExpr("id * 1.0D AS x", "id % 7 * 1.0D AS y").mapInPandas(counted, "x double, y double")
     assert D.standardized(df, ["x", "y"]).count() == 50 and read.value == 50
+
+
+def test_cells_are_counted_in_tasks_that_grow_with_the_lines(spark, monkeypatch):
+    from mastwire.plans import adapters, network
+
+    monkeypatch.setattr(adapters, "LINES_PER_TASK", 200)
+    folder = "/root/testdata/sf0.001"
+    n = adapters.line_tasks(spark, folder)
+    plan = network.bands(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert n > 20 and re.search(rf"hashpartitioning\(date#\d+, name#\d+, {n}\)", plan)
+    assert not re.search(r"hashpartitioning\(date#\d+, band#\d+, name#\d+", plan)
