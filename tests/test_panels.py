@@ -221,3 +221,25 @@ def test_cells_are_counted_in_tasks_that_grow_with_the_lines(spark, monkeypatch)
     plan = network.bands(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert n > 20 and re.search(rf"hashpartitioning\(date#\d+, name#\d+, {n}\)", plan)
     assert not re.search(r"hashpartitioning\(date#\d+, band#\d+, name#\d+", plan)
+
+
+def test_network_means_pass_no_cells_through_a_fixed_number_of_tasks(spark, monkeypatch):
+    import duckdb
+
+    from mastwire.plans import adapters, network
+    from mastwire.plans.registry import ORACLES
+
+    monkeypatch.setattr(adapters, "LINES_PER_TASK", 200)
+    folder = "/root/testdata/sf0.001"
+    out = network.network_daily_means(spark, folder)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [(re.sub(r"#\d+L?", "", keys), int(n)) for keys, n in re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", plan)]
+    n = adapters.line_tasks(spark, folder)
+    # Lines and cells go to tasks that grow with the lines, the rest are sums by day and band.
+    assert n > 20 and sorted(k for k, tasks in dealt if tasks == n) == ["date, name", "l_suppkey, l_shipdate"]
+    assert sorted(k for k, tasks in dealt if tasks != n) == ["date", "date, band"]
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    want = con.execute(ORACLES["network_daily_means"]).fetchall()
+    assert sorted(map(tuple, out.select("date", "availability", "users", "downtime").collect())) == sorted(want)
