@@ -64,3 +64,9 @@ def test_trees_on_residuals_win_where_the_line_cannot_follow(spark):
         if r.champion != "weekday_medians":
             assert r.validation_mase == min(r.ridge_validation_mase, r.hybrid_validation_mase) <= 1
     assert best["steps"].hybrid_validation_mase < best["steps"].ridge_validation_mase
+
+
+def test_every_feature_has_its_importance(spark):
+    names = [f"f{i}" for i in range(13)]
+    got = [tuple(r) for r in D.importances([2.0] + [0.5] * 12, names, spark).collect()]
+    assert got == [("f0", 0.25), *((n, 0.0625) for n in sorted(names[1:]))]
