@@ -97,3 +97,19 @@ def test_only_texts_that_a_round_needs_are_joined(spark, monkeypatch):
     monkeypatch.setattr(repeats, "marked", lambda hashes: np.full((1 << 26) // 8, 255, np.uint8))
     assert sorted((tuple(r)[:5] for r in repeats.removed(docs, 64).collect()), key=str) == want
     assert passed[-1] == len(rows)
+
+
+def test_no_table_is_sent_to_all_tasks(spark, monkeypatch):
+    """Sized by its file, a table that an explode makes 32 times as long was sent through the driver."""
+    plans = []
+    kept = repeats.saved
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(repeats, "saved", noted)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3, 40))], "doc_id long, text string")
+    out = repeats.removed(docs, 40)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
