@@ -1,9 +1,9 @@
 """Groups of points with a bounded diameter, and the exact spread of a set of locations.
 
 Grouping is complete linkage: two groups are as far apart as their farthest pair, and the closest
-two merge as long as that is within the limit. Pairs that are each other's closest can merge at
-once without changing the result, so a round settles many merges with joins on a sparse list of
-distances, and the rounds grow slowly with the number of points.
+two merge as long as that is within the limit. In a round every two groups that are each other's
+closest merge at once. A group meets the others of its cell and the eight around it in one task, as
+the corners of its hull, which alone can be farthest; no list of pairs is kept or shuffled.
 """
 
 from __future__ import annotations
@@ -12,89 +12,174 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mastwire.operators.geo import EARTH_M, _max_lat, _steps, haversine
 from mastwire.session import materialize
 
-#: A crowded cell is cut into this many parts a side, so no cell has more than the square of it.
-PARTS = 16
-NAME = ["name"]
-#: Bits of an atom's name that come from the hash of its key.
+#: A task compares the groups of this many places, squared, with all around them; a cell with more is dealt to several.
+PARTS = 64
+#: Bits of a point's name that come from the hash of its key.
 HASH_BITS = 48
-
-
-def _atoms(places: DataFrame, limit_m: float, max_lat: float) -> DataFrame:
-    """Places with the atom they belong to: the place itself, or in a crowded cell its small part of it."""
-    side_x, side_y = _steps(limit_m, max_lat)
-    x, y = F.floor(F.col("lon") / side_x), F.floor(F.col("lat") / side_y)
-    placed = places.withColumns({"cx": x, "cy": y})
-    crowded = placed.groupBy("cx", "cy").agg(F.count("*").alias("_held")).where(F.col("_held") > PARTS * PARTS).withColumn("_crowd", F.lit(True))
-    part = F.struct(F.floor(F.col("lon") / (side_x / PARTS)).cast("double").alias("lon"), F.floor(F.col("lat") / (side_y / PARTS)).cast("double").alias("lat"))
-    own = F.struct(F.col("lon"), F.col("lat"))
-    return placed.join(crowded.drop("_held"), ["cx", "cy"], "left").withColumn(
-        "atom", F.struct(F.coalesce("_crowd", F.lit(False)).alias("crowd"), F.when(F.col("_crowd"), part).otherwise(own).alias("at"))
-    ).drop("_crowd")
-
-
-def _summed(atoms: DataFrame) -> DataFrame:
-    """One row for each atom: its name, centre, radius and rows.
-
-    A name is one number, a hash of the smallest key (48 bits) in no spatial order; atoms of one hash are told
-    apart by the bits above, in the order of their key and corner.
+#: Distances, or pairs of names, that a task holds at a time.
+CELLS = 1 << 20
+CORNERS = "array<struct<lon:double,lat:double>>"
+_CORNERS = pa.list_(pa.field("element", pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))
+
+
+def _named(points: DataFrame, key: str) -> DataFrame:
+    """Points with a name: a hash of the key (48 bits) in no spatial order; points of one hash are told apart by the bits above."""
+    twin = F.row_number().over(Window.partitionBy("h").orderBy(key, "lon", "lat")) - 1
+    named = points.select(key, "lon", "lat", _words(F.col(key)).cast("long").alias("h"))
+    return named.select(key, "lon", "lat", (F.col("h") + F.shiftleft(twin.cast("long"), HASH_BITS)).alias("name"))
+
+
+def _least_xor(held: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each number the least XOR with another of the sorted ones, of which it is one: bit by bit, without pairs."""
+    low, high = np.zeros(len(asked), np.int64), np.full(len(asked), len(held))
+    base, own = np.zeros(len(asked), np.int64), np.ones(len(asked), bool)
+    for bit in range(62, -1, -1):
+        middle = np.clip(np.searchsorted(held, base + (1 << bit)), low, high)
+        one = (asked >> bit & 1).astype(bool)
+        stays = np.where(one, high - middle, middle - low) - own > 0
+        up = one == stays
+        own &= stays
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+        base += up.astype(np.int64) << bit
+    return asked ^ base
+
+
+def _least_in(held: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if len(held) * len(asked) > CELLS:
+        return _least_xor(np.sort(held), asked)
+    mixed = asked[:, None] ^ held
+    mixed[mixed == 0] = np.iinfo(np.int64).max
+    return mixed.min(axis=1)
+
+
+def _closest_of(own: np.ndarray, name: np.ndarray, corner: np.ndarray, lon: np.ndarray, lat: np.ndarray, limit_m: float, step_m: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, rank): the rows that are the task's own and have a group within the limit, and the closest one's name XOR their own.
+
+    ``corner`` says where the corners of a row begin. Groups of one place that is the same are one stack of names, so copies cost no distances.
     """
-    box = atoms.groupBy("cx", "cy", "atom").agg(
-        F.min("first").alias("k"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"),
-        F.sum("rows").alias("rows"))
-    lon, lat = (F.col("w") + F.col("e")) / 2, (F.col("s") + F.col("n")) / 2
-    reach = F.when(F.col("atom.crowd"), haversine(lon, lat, F.col("w"), F.col("s")) * 1.001 + 0.001).otherwise(0.0)
-    box = box.withColumn("h", _words(F.col("k")).cast("long"))
-    twin = F.row_number().over(Window.partitionBy("h").orderBy("k", "w", "s")) - 1
-    return box.select("cx", "cy", "atom", (F.col("h") + F.shiftleft(twin.cast("long"), HASH_BITS)).alias("name"), lon.alias("lon"), lat.alias("lat"), reach.alias("reach"), "rows")
-
-
-def _near_pairs(atoms: DataFrame, limit_m: float) -> DataFrame:
-    """(a, b, d) for atoms whose farthest points are within the limit; d in whole millimetres."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = atoms.withColumn("_at", F.explode(steps)).select(
-        F.col("name").alias("a"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.col("reach").alias("r1"),
-        (F.col("cx") + F.col("_at.i")).alias("cx"), (F.col("cy") + F.col("_at.j")).alias("cy"))
-    right = atoms.select(F.col("name").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("reach").alias("r2"), "cx", "cy")
-    gap = F.round(haversine(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")) + F.col("r1") + F.col("r2"), 3)
-    return left.join(right, ["cx", "cy"]).where(F.col("a") < F.col("b")).select("a", "b", gap.alias("d")).where(F.col("d") <= limit_m)
-
-
-def _merged(names: DataFrame, pairs: DataFrame, limit_m: float, step_m: float) -> DataFrame:
-    """(name, group) by complete linkage over the pairs within the limit."""
-    # Of equally close pairs a mix of both names decides, which no chain of neighbours follows. Given one end, step and
-    # mix name the other, so an end's closest pair is the least of one number and never sorted.
-    rank = F.floor(F.col("d") / step_m).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("a").bitwiseXOR(F.col("b")).cast("decimal(19,0)")
-    mix = F.pmod("rank", F.lit(2**62).cast("decimal(19,0)")).cast("long")
-    if step_m * 2**14 > limit_m and not names.where(F.shiftright("name", HASH_BITS) > 0).take(1):
-        rank = F.shiftleft(F.floor(F.col("d") / step_m).cast("long"), HASH_BITS).bitwiseOR(F.col("a").bitwiseXOR(F.col("b")))
-        mix = F.col("rank").bitwiseAND(F.lit(2**HASH_BITS - 1))
-    pairs = materialize(pairs)
-    labels = names.select("name", F.col("name").alias("group"))
-    while pairs.take(1):
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), rank.alias("rank"))
-        closest = ends.groupBy("end").agg(F.min("rank").alias("rank")).select("end", F.col("end").bitwiseXOR(mix).alias("other"))
-        joined = materialize(
-            closest.groupBy(F.least("end", "other").alias("into"), F.greatest("end", "other").alias("gone")).agg(F.count("*").alias("n"))
-            .where("n = 2").select("into", "gone"))
-        moved = joined.select(F.explode(F.array(
-            F.struct(F.col("into").alias("old"), "into"), F.struct(F.col("gone").alias("old"), "into"))).alias("m")).select("m.*")
-        labels = labels.join(joined.select(F.col("gone").alias("group"), "into"), "group", "left").select(
-            "name", F.coalesce("into", "group").alias("group"))
-        # A merged group keeps a neighbour only where both of its halves had it.
-        for side in ("a", "b"):
-            pairs = pairs.join(moved.select(F.col("old").alias(side), F.col("into").alias(f"into_{side}")), side, "left").withColumns({
-                side: F.coalesce(f"into_{side}", side), f"parts_{side}": F.when(F.col(f"into_{side}").isNotNull(), 2).otherwise(1)})
-        pairs = materialize(
-            pairs.where(F.col("a") != F.col("b"))
-            .groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("parts_a") * F.col("parts_b")).alias("need"))
-            .agg(F.max("d").alias("d"), F.count("*").alias("have")).where("have = need").select(F.col("x").alias("a"), F.col("y").alias("b"), "d"))
-        labels = materialize(labels)
+    size = np.diff(corner)
+    lone = np.where(size > 1, np.arange(len(name)), -1)
+    order = np.lexsort((name, lat[corner[:-1]], lon[corner[:-1]], lone, ~own))
+    key = np.stack((~own, lone, lon[corner[:-1]], lat[corner[:-1]]))[:, order]
+    stack = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+    held = np.diff(stack, append=len(name))
+    name, first = name[order], order[stack]
+    wide = size[first]
+    ends = np.cumsum(wide)
+    at = np.arange(ends[-1]) + np.repeat(corner[first] - ends + wide, wide)
+    x, y = np.radians(lon[at]), np.radians(lat[at])
+    cos, starts = np.cos(y), ends - wide
+    mine = int(np.count_nonzero(own[first]))
+    rank = np.full(len(name), -1, np.int64)
+    begin = 0
+    while begin < mine:
+        end = max(begin + 1, int(np.searchsorted(ends[:mine], starts[begin] + max(CELLS // len(x), 1), side="right")))
+        a = slice(starts[begin], ends[end - 1])
+        h = np.sin((y[a, None] - y) / 2) ** 2 + cos[a, None] * cos * np.sin((x[a, None] - x) / 2) ** 2
+        h = np.maximum.reduceat(np.maximum.reduceat(h, starts, axis=1), starts[begin:end] - starts[begin], axis=0)
+        gap = np.round(2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1.0))), 3)
+        steps = np.where(gap <= limit_m, np.floor(gap / step_m), np.inf)
+        steps[np.arange(end - begin), np.arange(begin, end)] = np.where(held[begin:end] > 1, 0.0, np.inf)
+        best = steps.min(axis=1)
+        tied = (steps == best[:, None]) & np.isfinite(best)[:, None]
+        for i in begin + np.flatnonzero(held[begin:end] > 1):
+            near = np.concatenate([name[stack[j] : stack[j] + held[j]] for j in np.flatnonzero(tied[i - begin])])
+            rank[stack[i] : stack[i] + held[i]] = _least_in(near, name[stack[i] : stack[i] + held[i]])
+        tied[held[begin:end] > 1] = False
+        i, j = np.nonzero(tied)
+        if len(i):
+            count = held[j]
+            upto = np.cumsum(count)
+            near = name[np.arange(upto[-1]) + np.repeat(stack[j] - upto + count, count)]
+            asks = np.repeat(i, count)
+            new = np.flatnonzero(np.diff(asks, prepend=-1))
+            rank[stack[begin + asks[new]]] = np.minimum.reduceat(near ^ name[stack[begin + asks]], new)
+        begin = end
+    found = np.flatnonzero(rank >= 0)
+    return order[found], rank[found]
+
+
+def _with_closest(groups: DataFrame, crowd: DataFrame, limit_m: float, step_m: float) -> DataFrame:
+    """Groups that have another within the limit, with ``rank``: the name of the closest one XOR their own."""
+    around = F.array(*[F.struct((F.col("cx") + i).alias("tx"), (F.col("cy") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    sent = groups.withColumn("_t", F.explode(around)).select("*", "_t.*").drop("_t").join(F.broadcast(crowd), ["tx", "ty"], "left")
+    # The groups of a crowded cell are dealt by place; each of its tasks sees all of them.
+    part = F.pmod(F.xxhash64(F.col("corners")[0]), F.coalesce("parts", F.lit(1)))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    sent = sent.withColumn("own", (F.col("tx") == F.col("cx")) & (F.col("ty") == F.col("cy")) & (F.col("part") == part)).drop("parts")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        own, name = rows["own"].to_numpy(), rows["name"].to_numpy()
+        kept, rank = np.empty(0, np.int64), np.empty(0, np.int64)
+        if own.any():
+            lists = rows["corners"].chunk(0)
+            corner, places = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+            kept, rank = _closest_of(own, name, corner - corner[0], *(places.field(c).to_numpy() for c in ("lon", "lat")), limit_m, step_m)
+        taken = rows.select(["name", "cx", "cy", "corners"]).take(pa.array(kept))
+        return taken.set_column(3, "corners", taken["corners"].cast(_CORNERS)).append_column("rank", pa.array(rank))
+
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(tasks, "tx", "ty", "part")
+    return dealt.groupBy("tx", "ty", "part").applyInArrow(run, f"name long, cx long, cy long, corners {CORNERS}, rank long")
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """One row for two groups that are each other's closest, with the name that is ``gone``; the others as they were."""
+    other = F.col("name").bitwiseXOR(F.col("rank"))
+    pairs = found.groupBy(F.least("name", other).alias("into"), F.greatest("name", other).alias("out")).agg(
+        F.count("*").alias("n"), F.min("name").alias("name"), F.max("name").alias("gone"), F.collect_list(F.struct("cx", "cy", "corners")).alias("of"))
+    both = pairs.select("name", F.when(F.col("n") == 2, F.col("gone")).alias("gone"), F.col("of")[0]["cx"].alias("cx"), F.col("of")[0]["cy"].alias("cy"),
+                        F.array_distinct(F.flatten(F.col("of.corners"))).alias("corners"))
+
+    def cut(batches):
+        for batch in filter(len, batches):
+            lists = batch.column(4)
+            ends, places = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten()
+            lon, lat = (places.field(c).to_numpy() for c in ("lon", "lat"))
+            joined = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (np.diff(ends) > 6)
+            kept = np.ones(len(lon), bool)
+            for i in np.flatnonzero(joined):
+                s = slice(ends[i], ends[i + 1])
+                kept[s] = False
+                kept[ends[i] + hull(lon[s], lat[s])] = True
+            offsets = np.concatenate(([0], np.cumsum(kept)))[ends].astype(np.int32)
+            corners = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(lon[kept]), pa.array(lat[kept])], ["lon", "lat"]), _CORNERS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], corners], names=batch.schema.names)
+
+    return both.mapInArrow(cut, f"name long, gone long, cx long, cy long, corners {CORNERS}")
+
+
+def _merged(named: DataFrame, limit_m: float, step_m: float) -> DataFrame:
+    """(name, group) by complete linkage, for the points that have joined another one's group."""
+    side_x, side_y = _steps(limit_m, _max_lat(named))
+    cells = {"cx": F.floor(F.col("lon") / side_x).cast("long"), "cy": F.floor(F.col("lat") / side_y).cast("long")}
+    placed = materialize(named.select("name", "lon", "lat").withColumns(cells))
+    held = placed.select("cx", "cy", "lon", "lat").distinct().groupBy("cx", "cy").agg(F.count("*").alias("held")).where(F.col("held") > PARTS * PARTS)
+    crowd = materialize(held.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.ceil(F.col("held") / (PARTS * PARTS)).cast("int").alias("parts")))
+    groups = placed.select("name", "cx", "cy", F.array(F.struct("lon", "lat")).alias("corners"))
+    gone, rounds = None, 0
+    while True:
+        state = materialize(_joined(_with_closest(groups, crowd, limit_m, step_m)))
+        new = state.where("gone IS NOT NULL").select(F.col("gone").alias("name"), F.col("name").alias("group"))
+        if new.isEmpty():
+            break
+        gone, rounds = new if gone is None else gone.unionByName(new), rounds + 1
+        groups = state.select("name", "cx", "cy", "corners")
+    if gone is None:
+        return placed.select("name", F.col("name").alias("group")).limit(0)
+    labels = materialize(gone)
+    # A name is gone once, into one that may be gone later: each join doubles how far a label has come.
+    for _ in range((rounds - 1).bit_length()):
+        later = labels.select(F.col("name").alias("group"), F.col("group").alias("later"))
+        labels = materialize(labels.join(later, "group", "left").select("name", F.coalesce("later", "group").alias("group")))
     return labels
 
 
@@ -108,27 +193,27 @@ def bounded_groups(points: DataFrame, key: str, limit_m: float, step_m: float |
 
     The closest groups merge first, compared in steps of ``step_m`` (a fiftieth of the limit where not
     given: a metre for 50 m). On a regular grid exact distances grow along its rows by a hair and
-    would make each merge wait for the one before; equal steps let them happen together.
+    would make each merge wait for the one before; equal steps let them happen together. Of equally
+    close groups the mix of both names decides, which no chain of neighbours follows. A name is a hash
+    of a point's key, a group has the least name of its points.
 
     A group row holds members, locations, the medoid's key and coordinates (the observed point
     with the least sum of distances to all members, ties to the smallest key) and the diameter.
-    Its id is a hash of its members. Copies of a location count as members and cost one row.
-    In a cell (as wide as the limit) with more than PARTS x PARTS distinct locations these are first
-    joined in parts a sixteenth as wide; their distances are bounded from above, so the diameter
-    stays within the limit there too, and the list of pairs stays as long as a cell's neighbours.
+    Its id is a hash of its members. Copies of a location are members of their own, but distances are
+    computed between locations only. However crowded a cell is, all its locations are compared.
     Points without coordinates are left out.
     """
     points = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    places = points.groupBy("lon", "lat").agg(F.min(key).alias("first"), F.count("*").alias("rows"), F.sum(_words(F.col(key))).alias("words"))
-    places = materialize(_atoms(places, limit_m, _max_lat(places)))
-    atoms = materialize(_summed(places))
-    labels = atoms.join(_merged(atoms, _near_pairs(atoms, limit_m), limit_m, step_m or limit_m / 50), NAME)
-    placed = materialize(places.join(labels.select("cx", "cy", "atom", "group"), ["cx", "cy", "atom"]).drop("cx", "cy", "atom"))
+    named = materialize(_named(points, key))
+    labels = _merged(named, limit_m, step_m or limit_m / 50)
+    members = materialize(named.join(labels, "name", "left").select(key, "lon", "lat", F.coalesce("group", "name").alias("group")))
+    placed = materialize(members.groupBy("group", "lon", "lat").agg(
+        F.min(key).alias("first"), F.count("*").alias("rows"), F.sum(_words(F.col(key))).alias("words")))
 
-    centres = labels.select("group", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "reach", F.col("rows").alias("weight"))
+    centres = placed.select("group", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("rows").alias("weight"))
     gap = haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    reached = placed.join(centres, "group").groupBy("group", "lon", "lat", "first").agg(
-        F.round(F.sum(gap * F.col("weight")), 3).alias("_sum"), F.max(gap + F.col("reach")).alias("_far"))
+    reached = placed.join(centres, "group").select("group", "lon", "lat", "first", "weight", gap.alias("gap")).groupBy("group", "lon", "lat", "first").agg(
+        F.round(F.sum(F.col("gap") * F.col("weight")), 3).alias("_sum"), F.max("gap").alias("_far"))
     shape = reached.groupBy("group").agg(
         F.max("_far").alias("diameter_m"), F.min(F.struct("_sum", "first", "lon", "lat")).alias("medoid"))
     totals = placed.groupBy("group").agg(
@@ -137,8 +222,7 @@ def bounded_groups(points: DataFrame, key: str, limit_m: float, step_m: float |
     groups = materialize(totals.join(shape, "group").select(
         "group", group_id.alias("group_id"), "members", "locations", F.col("medoid.first").alias(f"medoid_{key}"),
         F.col("medoid.lon").alias("lon"), F.col("medoid.lat").alias("lat"), "diameter_m"))
-    members = points.select(key, "lon", "lat").join(placed.select("lon", "lat", "group"), ["lon", "lat"]).join(groups.select("group", "group_id"), "group")
-    return members.drop("group"), groups.drop("group")
+    return members.join(groups.select("group", "group_id"), "group").drop("group"), groups.drop("group")
 
 
 # --- Spread --------------------------------------------------------------------------------

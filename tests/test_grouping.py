@@ -1,6 +1,8 @@
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 
 from mastwire.operators import grouping as G
@@ -117,3 +119,48 @@ def test_closest_pairs_are_found_without_a_sort(spark, monkeypatch):
     # Hashes that collide are told apart, and the wider rank gives the same groups.
     monkeypatch.setattr(G, "HASH_BITS", 0)
     assert sorted(r.group_id for r in G.bounded_groups(points, "id", 50.0)[1].collect()) == found
+
+
+def merged_in_rounds(points, limit, step):
+    """All pairs of groups in each round, every two that are each other's closest merge: the rounds of the SQL."""
+    names = {int(hashlib.md5(str(k).encode()).hexdigest()[:12], 16): (k, p) for k, p in points}
+    groups = {n: [n] for n in names}
+    gap = {(a, b): round(distance(names[a][1], names[b][1]), 3) for a in names for b in names}
+    while True:
+        closest = {}
+        for a in groups:
+            far = [(max(gap[p, q] for p in groups[a] for q in groups[b]), a ^ b, b) for b in groups if a != b]
+            near = [(d // step, mix, b) for d, mix, b in far if d <= limit]
+            if near:
+                closest[a] = min(near)[2]
+        pairs = [(a, b) for a, b in closest.items() if a < b and closest[b] == a]
+        if not pairs:
+            return {frozenset(names[n][0] for n in g) for g in groups.values()}
+        for a, b in pairs:
+            groups[a] += groups.pop(b)
+
+
+def test_groups_do_not_depend_on_crowds_or_copies(spark, monkeypatch):
+    """A cell of many places was joined in small parts first, and copies of a place merged before the first round."""
+    monkeypatch.setattr(G, "PARTS", 2)
+    rng = random.Random(4)
+    places = [(13 + rng.random() * 0.0016, 32.5 + rng.random() * 0.0016) for _ in range(90)]
+    points = [(i, p) for i, p in enumerate(places)] + [(100 + i, places[i % 11]) for i in range(40)]
+    rows = spark.createDataFrame([(k, *p) for k, p in points], "id long, lon double, lat double")
+    for step in (1.0, 25.0):
+        held = {}
+        for r in G.bounded_groups(rows, "id", 50.0, step)[0].collect():
+            held.setdefault(r.group_id, set()).add(r.id)
+        assert {frozenset(g) for g in held.values()} == merged_in_rounds(points, 50.0, step)
+
+
+def test_least_mix_needs_no_pairs(monkeypatch):
+    rng = np.random.default_rng(1)
+    for held in (rng.choice(50, 20, replace=False), rng.integers(0, 2**50, 300), np.array([5, 9])):
+        held = np.unique(held).astype(np.int64)
+        asked = held[::2]
+        assert (G._least_xor(held, asked) == [min(a ^ b for b in held if a != b) for a in asked]).all()
+        assert (G._least_in(held[::-1].copy(), asked) == G._least_xor(held, asked)).all()
+        monkeypatch.setattr(G, "CELLS", 1)
+        assert (G._least_in(held[::-1].copy(), asked) == G._least_xor(held, asked)).all()
+        monkeypatch.undo()
